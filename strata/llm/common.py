@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _live: list[tuple[SparkSession, str]] = []
 
@@ -57,3 +58,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df and more fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

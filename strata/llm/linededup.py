@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_fields
 
 _BATCH = 20_000
 
@@ -89,6 +89,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_emit(min_chars), "doc_id long, key binary")
     per_doc = pairs.join(gone, "key").where(F.col("doc_id") != F.col("keeper")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias("_gone"))
     joined = docs.join(per_doc, F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    schema = docs.drop("text").schema.add("_kept_text", "string").add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    schema = with_fields(docs.drop("text"), "_kept_text string, n_lines long, n_dropped long, kept_sha256 string")
     at = joined.columns
     return joined.mapInArrow(_apply(min_chars, at.index("text"), at.index("_gone"), to_arrow_schema(schema)), schema)
