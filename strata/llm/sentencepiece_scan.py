@@ -32,6 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 _NONE = float("-inf")
 _SLICE = 1 << 20
+_ROWS = 32
 _RESULTS = "n_tokens long, round_trip boolean, token_ids array<int>"
 
 
@@ -76,7 +77,7 @@ class Model:
         if not self.merges:
             return True
         if (a, b) not in self._fit:
-            if len(self._fit) > 1_000_000:
+            if len(self._fit) > 100_000:
                 self._fit.clear()
             self._fit[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return self._fit[a, b]
@@ -276,11 +277,18 @@ def _chunks(proto: bytes, size: int):
 _MATRIX = "array<struct<i:int,j:int,v:double>>"
 
 
+def _parts(batches):
+    """Batches of a few chunks: ids as Python numbers take ten times the room of their text."""
+    for b in batches:
+        for a in range(0, b.num_rows, _ROWS):
+            yield b.slice(a, _ROWS)
+
+
 def _transfers(proto: bytes):
     def run(batches):
         m = model(proto)
         kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())]))
-        for b in batches:
+        for b in _parts(batches):
             out = [[{"i": i, "j": j, "v": v} for i, j, v in transfer(m, s, lo, hi)] for s, lo, hi in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, kind)], names=["text_key", "no", "matrix"])
 
@@ -300,7 +308,7 @@ def _settled(batches):
 def _traced(proto: bytes):
     def run(batches):
         m = model(proto)
-        for b in batches:
+        for b in _parts(batches):
             ids = [backtrace(m, *r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 7)))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["text_key", "no", "ids"])
 
