@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, quality, sentencepiece_scan, simhash, topk, warc
+from . import decontam, langid, linededup, ngram_lm, quality, sentencepiece_scan, simhash, topk, warc
 from .common import table
 
 
@@ -43,7 +43,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality, op8_langid, op9_topk)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality, op8_langid, op9_topk, op10_lm)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((d[{i}] >> {s}) & 31) + 1, 1)" for i in range(1, 9) for s in (15, 10, 5, 0)
