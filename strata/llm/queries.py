@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, ngram_lm, quality, sentencepiece_scan, simhash, topk, warc
+from . import decontam, langid, linededup, ngram_lm, quality, sentencepiece_scan, simhash, token_shards, topk, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -47,7 +51,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality, op8_langid, op9_topk, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_token_shards, op4_line_dedup, op5_decontamination, op6_simhash, op7_quality, op8_langid, op9_topk, op10_lm)}
 
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((d[{i}] >> {s}) & 31) + 1, 1)" for i in range(1, 9) for s in (15, 10, 5, 0)
