@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,18 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|e[+-]?\d+)?")
 _GLUED = re.compile(r"(?<=\d)(?=(?:km|cm|mm|kg|mg|lbs?|oz|ml|kb|mb|gb|tb|k?hz|mhz|ghz|kwh|mph|kph)\b)", re.IGNORECASE)
 _DIGIT = re.compile(r"\d")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_COMMON = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _A, _SOME = np.uint64(0x9E3779B97F4A7C15), 1 << 19
 _RESULTS = "contaminated boolean, item_ids array<long>, reparameterised array<long>, coverage double"
 
 
 def canonical(word: str) -> tuple[str, str, str]:
     """(typed, plain, value) tokens of a word; empty where it has no letter or digit."""
-    core = _EDGES.sub("", word)
-    if not core:
-        return "", "", ""
+    core = word.strip(_COMMON)
+    if not core or not (core[0].isalnum() and core[-1].isalnum()):
+        core = _EDGES.sub("", core)
+        if not core:
+            return "", "", ""
     low = core.lower()
     if core[0].isdigit() and _NUMBER.fullmatch(low):
         return NUMBER, NUMBER, low
@@ -68,30 +72,34 @@ class _Vocabulary(dict):
     """Numbers of words, and for each number the hashes of its tokens; starts anew when it has grown to its limit."""
 
     def __init__(self, limit: int = 400_000):
-        self.limit, self.rows = limit, []
+        self.limit = limit
+        self._empty()
+
+    def _empty(self):
+        self.clear()
+        self.new: list[tuple[int, int]] = []
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
     def __missing__(self, word: str) -> int:
         typed, plain, _ = canonical(word)
-        self.rows.append((_hash(typed), _hash(plain), typed[:1] != "\x01") if plain else (0, 0, False))
-        self[word] = n = len(self.rows) - 1
+        h = _hash(plain) if plain else 0
+        self.new.append((h if typed is plain else _hash(typed), h) if plain else (0, 0))
+        self[word] = n = len(self)
         return n
 
-    def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(typed hash, plain hash, whether typed is a word, document, place of the word in its document) of all tokens of texts."""
+    def arrays(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(typed hash, plain hash, document) of all tokens of texts."""
         if len(self) > self.limit:
-            self.clear()
-            self.rows = []
+            self._empty()
         words = [words_of(t) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.fromiter((self[w] for x in words for w in x), np.int64, int(n.sum()))
-        doc = np.repeat(np.arange(len(texts)), n)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-        used, ids = np.unique(ids, return_inverse=True)
-        rows = [self.rows[i] for i in used.tolist()]
-        typed, plain = np.array([r[0] for r in rows], np.uint64)[ids], np.array([r[1] for r in rows], np.uint64)[ids]
-        literal = np.array([r[2] for r in rows], bool)[ids]
-        ok = plain != 0
-        return typed[ok], plain[ok], literal[ok], doc[ok], place[ok]
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        if self.new:
+            self.known = tuple(np.concatenate((old, np.array(new, old.dtype))) for old, new in zip(self.known, zip(*self.new)))
+            self.new = []
+        typed, plain = self.known[0][ids], self.known[1][ids]
+        doc, ok = np.repeat(np.arange(len(texts)), n), plain != 0
+        return (typed, plain, doc) if ok.all() else (typed[ok], plain[ok], doc[ok])
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -173,7 +181,7 @@ class Index:
 
     def match(self, texts: list[str], vocabulary: _Vocabulary) -> list[dict[int, tuple[float, bool]]]:
         """For each text the items in it: (coverage, whether re-parameterised)."""
-        typed, plain, literal, doc, place = vocabulary.arrays(texts)
+        typed, plain, doc = vocabulary.arrays(texts)
         out: list[dict[int, tuple[float, bool]]] = [{} for _ in texts]
         found: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
         starts = np.searchsorted(doc, np.arange(len(texts)))
