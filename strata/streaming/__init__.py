@@ -1 +1 @@
-
+"""Stateful operators on Structured Streaming, and their batch forms."""
