@@ -71,30 +71,35 @@ class Sequence:
         """Values at places i."""
         if not len(i):
             return np.zeros(0, U)
-        word = np.searchsorted(self.ones, i, "right") - 1
+        word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
         at = (word << 6) + _select(self.high[word], i - self.ones[word].astype(np.int64))
         return ((at - i).astype(U) << U(self.bits)) | _unpack(self.low, self.bits, i)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value not below x, that value); n and 0 where there is none. The high part leads to the few values that share it."""
+    def successor(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value not below x, whether it is x) among the places from lo to before hi, or among all; hi where there is none.
+
+        The unary part leads to the run of values that share x's high part; their low parts are searched by halves.
+        """
         x = x.astype(U)
-        top = (x >> U(self.bits)).astype(np.int64)
-        place = np.where(top > 0, self._zeros(top - 1) + 1 - top, 0)  # values before the top-th 0
-        value = np.zeros(len(x), U)
-        live = np.flatnonzero(place < self.n)
-        value[live] = self.get(place[live])
-        while len(live := live[value[live] < x[live]]):
-            place[live] += 1
-            live = live[place[live] < self.n]
-            value[live] = self.get(place[live])
-        value[place >= self.n] = 0
-        return place, value
+        top, low = (x >> U(self.bits)).astype(np.int64), x & U((1 << self.bits) - 1)
+        start = np.where(top > 0, self._zeros(np.maximum(top - 1, 0)) + 1 - top, 0)  # values before the top-th 0
+        end = self._zeros(top) - top
+        if lo is not None:
+            start, end = np.clip(start, lo, hi), np.clip(end, lo, hi)
+        stop = end.copy()
+        while len(live := np.flatnonzero(start < stop)):
+            mid = (start[live] + stop[live]) >> 1
+            less = _unpack(self.low, self.bits, mid) < low[live]
+            start[live[less]] = mid[less] + 1
+            stop[live[~less]] = mid[~less]
+        found = start < end
+        found[found] = _unpack(self.low, self.bits, start[found]) == low[found]
+        return start, found
 
     def _zeros(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th (from 0) 0 of the unary part."""
         before = self._before
-        word = np.searchsorted(before, k, "right") - 1
-        word = np.minimum(word, len(self.high) - 1)
+        word = np.minimum(np.searchsorted(before, k, "right") - 1, len(self.high) - 1)
         return (word << 6) + _select(~self.high[word], k - before[word])
 
     @property

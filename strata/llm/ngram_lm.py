@@ -224,8 +224,7 @@ class Segment:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(node or -1, count) of each word."""
-        at, value = self.words.successor(h)
-        ok = (at < self.words.n) & (value == h)
+        at, ok = self.words.successor(h)
         node, count = np.where(ok, at, -1), np.zeros(len(h), np.int64)
         i = at[ok]
         count[ok] = (self.sums.get(i + 1) - self.sums.get(i)).astype(np.int64)
@@ -242,11 +241,11 @@ class Segment:
         out = np.zeros(len(node))
         own = np.flatnonzero(node >= 0)
         a, b = self.pointers.get(node[own]), self.pointers.get(node[own] + 1)
-        own = own[a < b]  # the others have no children
+        some = a < b  # the others have no children
+        own = own[some]
         if len(own):
             key = (node[own].astype(U) << U(CHILD)) | (h[own] >> U(64 - CHILD))
-            at, value = self.children.successor(key)
-            ok = (at < self.children.n) & (value == key)
+            at, ok = self.children.successor(key, a[some].astype(np.int64), b[some].astype(np.int64))
             out[own[ok]] = 10 ** dequantise(self.codes[at[ok]])
         return out
 
@@ -260,7 +259,7 @@ class Model:
 
     def segment(self, s: int) -> Segment | None:
         if s not in self.open:
-            self.open[s] = Segment(np.memmap(self.files[s], np.uint8, "r")) if s in self.files else None
+            self.open[s] = Segment(np.asarray(np.memmap(self.files[s], np.uint8, "r"))) if s in self.files else None
         return self.open[s]
 
     def score(self, texts: list[list[bytes]]):
