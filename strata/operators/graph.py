@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INDEX_TYPES, MANIFEST_TYPES
+from ..session import reliable_checkpoint
 
 _DESCRIPTOR = "struct<mediaType:string,digest:string,size:long>"
 _BODY = f"mediaType string, manifests array<{_DESCRIPTOR}>, config {_DESCRIPTOR}, layers array<{_DESCRIPTOR}>, subject {_DESCRIPTOR}"
@@ -30,15 +31,15 @@ def reach(roots: DataFrame, edges: DataFrame, held: DataFrame, checkpoint_every:
     Lineage is cut by reliable checkpoints.
     """
     held = held.select("repo", "digest").distinct()
-    seen = roots.select("repo", "digest").distinct().join(held, ["repo", "digest"], "left_semi").checkpoint()
+    seen = reliable_checkpoint(roots.select("repo", "digest").distinct().join(held, ["repo", "digest"], "left_semi"))
     front, rounds = seen, 0
     while not front.isEmpty():
         step = front.withColumnRenamed("digest", "src").join(edges.select("repo", "src", "dst"), ["repo", "src"]).select("repo", F.col("dst").alias("digest")).distinct()
-        front = step.join(held, ["repo", "digest"], "left_semi").join(seen, ["repo", "digest"], "left_anti").checkpoint()
+        front = reliable_checkpoint(step.join(held, ["repo", "digest"], "left_semi").join(seen, ["repo", "digest"], "left_anti"))
         rounds += 1
         seen = seen.unionByName(front)
         if rounds % checkpoint_every == 0:
-            seen = seen.checkpoint()
+            seen = reliable_checkpoint(seen)
     return seen
 
 
