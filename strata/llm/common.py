@@ -63,3 +63,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df and more fields."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def bound_batches(df: DataFrame, limit: str = "4m") -> DataFrame:
+    """df, with batches that go to Python held to limit bytes for the rest of the session: 10,000 long texts in one batch would take more than a worker has."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    return df

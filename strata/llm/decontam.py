@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_fields
+from .common import bound_batches, materialise, with_fields
 
 # Units that become a placeholder.
 UNITS = frozenset(
@@ -71,7 +71,7 @@ def _hash(token: str) -> int:
 class _Vocabulary(dict):
     """Numbers of words, and for each number the hashes of its tokens; starts anew when it has grown to its limit."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self._empty()
 
@@ -253,7 +253,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: f
     from pyspark.sql.pandas.types import to_arrow_schema
 
     sc = docs.sparkSession.sparkContext
-    docs = docs.drop("contaminated", "item_ids", "reparameterised", "coverage").withColumn("text", F.col("text").cast("string"))
+    docs = bound_batches(docs).drop("contaminated", "item_ids", "reparameterised", "coverage").withColumn("text", F.col("text").cast("string"))
     work = docs.withColumn("_text", F.col("text")) if keep_text else docs.withColumnRenamed("text", "_text")
     schema, at = with_fields(work.drop("_text"), _RESULTS), work.columns.index("_text")
     run = lambda d, block: d.mapInArrow(_matched(sc.broadcast((block, size, share)), at, to_arrow_schema(schema)), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import bound_batches, with_fields
 from .split import held_out
 
 BITS, HASHES, WORD = 18, 3, 62
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, parts: int = 4, part: int = 2, max_docs: int = 400
     """docs with held_out, lang_pred and score."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = bound_batches(docs).drop("held_out", "lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, parts, part, max_docs, min_share))
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), parts, part)).drop("lang")
     schema = with_fields(docs, "lang_pred string, score double")

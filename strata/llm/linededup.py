@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_fields
+from .common import bound_batches, materialise, with_fields
 
 _BATCH = 20_000
 
@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("_kept_text", "n_lines", "n_dropped", "kept_sha256", "_of", "_gone")
+    docs = bound_batches(docs).drop("_kept_text", "n_lines", "n_dropped", "kept_sha256", "_of", "_gone")
     gone = materialise(shared_lines(docs, min_chars, min_docs), "lines").select("key", "keeper")
     pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_emit(min_chars), "doc_id long, key binary")
     per_doc = pairs.join(gone, "key").where(F.col("doc_id") != F.col("keeper")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias("_gone"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _fs, materialise, scratch, with_fields
+from .common import _fs, bound_batches, materialise, scratch, with_fields
 from .elias_fano import Sequence, dump, load
 from .split import held_out
 
@@ -351,5 +351,5 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
 
 def train_and_score(docs: DataFrame, parts: int = 5, part: int = 1) -> DataFrame:
-    marked = docs.drop("held_out").withColumn("held_out", held_out(F.col("doc_id"), parts, part))
+    marked = bound_batches(docs).drop("held_out").withColumn("held_out", held_out(F.col("doc_id"), parts, part))
     return score(marked, train(docs, parts, part))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import bound_batches, with_fields
 from .split import held_out
 
 _CLASSES = [b"!", b"|", b"*#%&$@~^+=_<>/\\{}[]", b"0123456789", b".", b",", b"?;:", b"\"'`()", b"\n", bytes(range(65, 91)), bytes(range(128, 256)), bytes(range(0, 9)) + bytes(range(14, 32))]
@@ -124,7 +124,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts:
     """docs with held_out, score (0..1, higher: label 1 likelier) and predicted (score >= 0.7)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("held_out", "score", "predicted")
+    docs = bound_batches(docs).drop("held_out", "score", "predicted")
     model = train(docs, labels, label, parts, part, max_labelled)
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), parts, part))
     schema = with_fields(docs, "score double, predicted int")

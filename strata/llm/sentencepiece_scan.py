@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, with_fields
+from .common import bound_batches, materialise, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = 32_768, size:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     proto = read_model(docs.sparkSession, model_path)
-    docs = docs.drop("n_tokens", "round_trip", "token_ids", "text_key", "_ids").withColumn("text", F.col("text").cast("string"))
+    docs = bound_batches(docs).drop("n_tokens", "round_trip", "token_ids", "text_key", "_ids").withColumn("text", F.col("text").cast("string"))
     schema = with_fields(docs.drop("text"), _RESULTS)
     arrow = to_arrow_schema(schema)
     long = F.coalesce(F.char_length("text") > giant, F.lit(False))

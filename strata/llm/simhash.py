@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 from .components import components
 
 _BLANKS = bytes(range(9, 14)) + b" "
@@ -56,7 +56,7 @@ def _fingerprints(words: int):
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
 def cuts(parts: int) -> list[np.uint64]:
