@@ -1,26 +1,25 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-The documents of each input split are encoded, an end token after each, into one stream, which is cut into sequences
-of seq_len ids. Sequences are numbered by split and place; a keyed Feistel permutation, walked along its cycles until it falls
-below the number of sequences, gives each a global slot. Slots are range-partitioned into shards of shard_slots: one file a shard, one record a slot, so
-that record k of the training order is at a known place and reading goes on from any slot.
+Each task encodes its documents, an end token after each, into one stream and cuts it into sequences of seq_len ids, which are
+written to a table with what each document has in them. Sequences are numbered by task and place; a keyed Feistel permutation, walked
+along its cycles until it falls below the number of sequences, gives each a global slot. Slots are range-partitioned into shards of
+shard_slots: one file a shard, one record a slot, so that record k of the training order is at a known place and reading goes on from any slot.
 
 A record is seq_len little-endian ids and the two bytes 0A 0A, which Spark's text writer puts after each row; that
-writer makes whole files or none, on any store, when executors are lost. The last sequence of a split is filled with pad.
+writer makes whole files or none, on any store, when executors are lost. The last sequence of a task is filled with pad.
+Texts are encoded once, and sequences cross one shuffle; the driver sees one number a task.
 
-The first pass encodes to learn the sizes; numbering needs no more than one number a split on the driver. The second pass encodes again
-and sends each sequence to its shard, so token ids are shuffled once and never stored twice. Both passes read the same
-splits; the second checks what it finds against the first and ends the job where they differ. Input that isn't a plain table scan has to be
-written first (see materialise).
-
-Cases. A null or empty text is its end token alone. Rows without doc_id are written with a null doc_id in the spans. Repeated rows are written as often as they occur. An empty table gives no shard.
+Cases. A null or empty text is its end token alone. Rows without doc_id have a null doc_id in the spans. Repeated rows are written as often as they occur. An empty table gives no shard.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import json
+import sys
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -29,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
-from .sentencepiece_scan import BLANK, MODEL, Model, model, read_model
+from .common import bound_batches, scratch
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _TAIL = b"\n\n"
 U = np.uint64
 
@@ -71,76 +70,90 @@ def permute(x: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = False
 # ---- encoding --------------------------------------------------------------------------------------------------
 
 
-class Encoder(dict):
-    """Ids of whole texts as bytes. Between a blank and the character before it no piece reaches, so words are encoded apart and remembered."""
+class Encoder:
+    """Ids of texts by a byte-level merge vocabulary in rank order, with the first free id as the end of a text."""
 
-    def __init__(self, m: Model, limit: int = 200_000):
-        self.m, self.limit = m, limit
-        self.kind = np.dtype("<u2" if len(m.surface) <= 1 << 16 else "<u4")
-        self.apart = not any(p[1] == BLANK and p[0] != BLANK for p in m.inside)
-        self.end = np.array([m.library.eos_id()], self.kind).tobytes()
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = np.array(self.m.library.encode(word), self.kind).tobytes()
-        return ids
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.words = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.end = max(table.values()) + 1
+        self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 and sys.byteorder == "little" else ""  # array is faster than numpy from a list
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        if self.apart and "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
-            if len(self) > self.limit:
-                self.clear()
-            return b"".join(map(self.__getitem__, text.split(" "))) + self.end
-        return np.array(self.m.library.encode(text), self.kind).tobytes() + self.end
+        ids = self.words.encode_ordinary(text) if text else []
+        ids.append(self.end)
+        return array(self.code, ids).tobytes() if self.code else np.array(ids, self.kind).tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids without the end."""
+        return self.words.decode(ids.tolist())
 
 
 @cache
-def _encoder(proto: bytes) -> Encoder:
-    return Encoder(model(proto))
+def _encoder(vocabulary: tuple[bytes, str]) -> Encoder:
+    return Encoder(*vocabulary)
 
 
-def _sizes(proto: bytes):
-    """(split, doc_id, place in the split's stream, ids) of each document."""
+def read_vocabulary(spark: SparkSession, path: str = RANKS, pattern: str | None = None) -> tuple[bytes, str]:
+    """A rank file and the pattern that cuts texts into words; without one, that of the public vocabularies' package."""
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]), pattern
 
-    def run(batches):
-        encode, at, split = _encoder(proto), 0, TaskContext.get().partitionId()
-        for b in batches:
-            n = np.array([len(encode(t.as_py())) for t in b.column(1)], np.int64) // encode.kind.itemsize
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.record_batch([pa.array(np.full(len(n), split, np.int32)), b.column(0), pa.array(start), pa.array(n)], names=["split", "doc_id", "start", "n"])
 
-    return run
+_SEQUENCES = "task int, k int, record binary, doc_id long, start long, n long"
 
 
-def _records(proto: bytes, first: dict[int, tuple[int, int]], meta: dict):
-    """(shard, slot, record) of each sequence of a split."""
-    names = ["shard", "slot", "record"]
+def _sequences(vocabulary, seq_len: int, pad: int):
+    """A row for each sequence (task, k, record), and one for each document (task, doc_id, its place in the task's stream, ids)."""
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["task", "k", "record", "doc_id", "start", "n"]
+
+    def rows(count: int, **columns):
+        return pa.record_batch([columns[c] if c in columns else pa.nulls(count, kind) for c, kind in zip(names, kinds)], names=names)
 
     def run(batches):
-        encode, split = _encoder(proto), TaskContext.get().partitionId()
-        number, expected = first.get(split, (0, 0))
-        width, size, stream, made = encode.kind.itemsize, meta["seq_len"] * encode.kind.itemsize, bytearray(), 0
+        encode, task = _encoder(vocabulary), TaskContext.get().partitionId()
+        width, size, stream, made, at = encode.kind.itemsize, seq_len * encode.kind.itemsize, bytearray(), 0, 0
+        whose = lambda n: pa.array(np.full(n, task, np.int32))
 
-        def out(raw: bytes):
+        def cut(raw: bytes):
             nonlocal made
             n = len(raw) // size
-            slot = permute(np.arange(number + made, number + made + n), meta["sequences"], meta["key"])
             made += n
-            return pa.record_batch([pa.array((slot // meta["shard_slots"]).astype(np.int32)), pa.array(slot), pa.array([raw[i : i + size] for i in range(0, n * size, size)], pa.binary())], names=names)
+            return rows(n, task=whose(n), k=pa.array(np.arange(made - n, made, dtype=np.int32)), record=pa.array([raw[i : i + size] for i in range(0, n * size, size)], pa.binary()))
 
         for b in batches:
-            for t in b.column(0):
-                stream += encode(t.as_py())
+            sizes = []
+            for t in b.column(1):
+                ids = encode(t.as_py())
+                stream += ids
+                sizes.append(len(ids) // width)
                 if len(stream) >= 1 << 20:
                     whole = len(stream) // size * size
-                    yield out(bytes(stream[:whole]))
+                    yield cut(bytes(stream[:whole]))
                     del stream[:whole]
+            n = np.array(sizes, np.int64)
+            yield rows(len(n), task=whose(len(n)), doc_id=b.column(0), start=pa.array(at + np.cumsum(n) - n), n=pa.array(n))
+            at += int(n.sum())
         if stream:
-            stream += np.array([meta["pad"]], encode.kind).tobytes() * (-len(stream) % size // width)
-            yield out(bytes(stream))
-        if made != expected:
-            raise RuntimeError(f"split {split} has {made} sequences and had {expected} before: its input isn't a stable table scan")
+            stream += np.array([pad], encode.kind).tobytes() * (-len(stream) % size // width)
+            yield cut(bytes(stream))
+
+    return run
+
+
+def _slots(first: dict[int, int], meta: dict):
+    """(shard, slot, record) of (task, k, record)."""
+
+    def run(batches):
+        for b in batches:
+            number = np.array([first[t] for t in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
+            slot = permute(number, meta["sequences"], meta["key"]) if len(number) else number
+            yield pa.record_batch([pa.array((slot // meta["shard_slots"]).astype(np.int32)), pa.array(slot), b.column(2)], names=["shard", "slot", "record"])
 
     return run
 
@@ -148,28 +161,26 @@ def _records(proto: bytes, first: dict[int, tuple[int, int]], meta: dict):
 # ---- tables ----------------------------------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, path: str, model_path: str = MODEL, seq_len: int = 1024, shard_slots: int = 8192, key: int = 20_240_601, pad: int = 0) -> dict:
-    """Writes shards/shard=../, spans/ (what each document has in which sequence's number) and meta/ at path; returns the meta data."""
+def write_shards(docs: DataFrame, path: str, ranks_path: str = RANKS, pattern: str | None = None, seq_len: int = 1024, shard_slots: int = 8192, key: int = 20_240_601, pad: int = 0) -> dict:
+    """Writes shards/shard=../, spans/ (which of a document's ids are in which slot) and meta/ at path, and the sequences/ they were made from; returns the meta data."""
     spark = docs.sparkSession
-    proto = read_model(spark, model_path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = rows.mapInArrow(_sizes(proto), "split int, doc_id long, start long, n long")
-    sizes.write.option("compression", "zstd").parquet(f"{path}/sizes")
-    sizes = spark.read.schema("split int, doc_id long, start long, n long").parquet(f"{path}/sizes")
+    vocabulary = read_vocabulary(spark, ranks_path, pattern)
+    rows = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows.mapInArrow(_sequences(vocabulary, seq_len, pad), _SEQUENCES).write.option("compression", "zstd").parquet(f"{path}/sequences")
+    made = spark.read.schema(_SEQUENCES).parquet(f"{path}/sequences")
     first, total = {}, 0
-    for r in sizes.groupBy("split").agg(F.sum("n").alias("n")).orderBy("split").collect():  # one row a split
-        count = -(-r["n"] // seq_len)
-        first[r["split"]] = (total, count)
-        total += count
-    width = _encoder(proto).kind.itemsize
+    for r in made.where("k is not null").groupBy("task").agg(F.count("*").alias("n")).orderBy("task").collect():  # one row a task
+        first[r["task"]] = total
+        total += r["n"]
+    width = _encoder(vocabulary).kind.itemsize
     meta = {"seq_len": seq_len, "width": width, "stride": seq_len * width + len(_TAIL), "shard_slots": shard_slots, "sequences": total, "key": key, "pad": pad}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
-    firsts = spark.createDataFrame([(s, a) for s, (a, _) in first.items()], "s int, first long")
-    numbered = sizes.join(F.broadcast(firsts), F.col("split") == F.col("s")).select("doc_id", "first", "start", "n")
+    firsts = spark.createDataFrame(list(first.items()), "t int, first long")
+    numbered = made.where("k is null").join(F.broadcast(firsts), F.col("task") == F.col("t")).select("doc_id", "first", "start", "n")
     numbered.mapInArrow(_spans(meta), _SPANS).write.option("compression", "zstd").parquet(f"{path}/spans")
     if total:
         shards = -(-total // shard_slots)
-        records = rows.select("text").mapInArrow(_records(proto, first, meta), "shard int, slot long, record binary")
+        records = made.where("k is not null").select("task", "k", "record").mapInArrow(_slots(first, meta), "shard int, slot long, record binary")
         by_shard = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
         by_shard.select("shard", F.col("record").cast("string").alias("record")).write.partitionBy("shard").option("lineSep", _TAIL.decode()).text(f"{path}/shards")
     return meta
@@ -199,7 +210,7 @@ def read_meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/meta").first()[0])
 
 
-def _split_records(meta: dict, first_slot: int):
+def _split_records(meta: dict, first_slot: int, sums_only: bool = False):
     def run(batches):
         stride, size = meta["stride"], meta["seq_len"] * meta["width"]
         for b in batches:
@@ -210,19 +221,19 @@ def _split_records(meta: dict, first_slot: int):
                 base = shard * meta["shard_slots"]
                 for a in range(max(0, first_slot - base), len(raw) // stride, 256):
                     ids = [raw.slice(i * stride, size).to_pybytes() for i in range(a, min(a + 256, len(raw) // stride))]
-                    slots = np.arange(base + a, base + a + len(ids))
-                    yield pa.record_batch([pa.array(slots), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["slot", "crc", "ids"])
+                    slots, sums = pa.array(np.arange(base + a, base + a + len(ids))), pa.array(list(map(zlib.crc32, ids)), pa.int64())
+                    yield pa.record_batch([slots, sums, pa.nulls(len(ids), pa.binary()) if sums_only else pa.array(ids, pa.binary())], names=["slot", "crc", "ids"])
 
     return run
 
 
-def read_records(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
-    """(slot, crc, ids as bytes) of all records from first_slot on; shards before it aren't opened."""
+def read_records(spark: SparkSession, path: str, first_slot: int = 0, sums_only: bool = False) -> DataFrame:
+    """(slot, crc, ids as bytes) of all records from first_slot on; shards before it aren't opened. sums_only: without the ids."""
     meta = read_meta(spark, path)
     if not meta["sequences"]:
         return spark.createDataFrame([], "slot long, crc long, ids binary")
     files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= first_slot // meta["shard_slots"])
-    return files.select(F.col("shard").cast("int"), "content").mapInArrow(_split_records(meta, first_slot), "slot long, crc long, ids binary")
+    return files.select(F.col("shard").cast("int"), "content").mapInArrow(_split_records(meta, first_slot, sums_only), "slot long, crc long, ids binary")
 
 
 def shard_documents(docs: DataFrame, **settings) -> DataFrame:
@@ -231,6 +242,6 @@ def shard_documents(docs: DataFrame, **settings) -> DataFrame:
     path = scratch(spark, "shards")
     meta = write_shards(docs, path, **settings)
     spans = spark.read.schema(_SPANS).parquet(f"{path}/spans")
-    read = read_records(spark, path).select(F.col("slot").alias("s"), "crc")
+    read = read_records(spark, path, sums_only=True).select(F.col("slot").alias("s"), "crc")
     lost = F.raise_error(F.lit("a sequence isn't in the shards")).cast("long")
     return spans.join(read, F.col("slot") == F.col("s"), "left").select("doc_id", "slot", "at", "from_token", "n_tokens", F.floor(F.col("slot") / meta["shard_slots"]).cast("int").alias("shard"), F.coalesce("crc", lost).alias("record_crc"))
