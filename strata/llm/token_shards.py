@@ -146,14 +146,44 @@ def _sequences(vocabulary, seq_len: int, pad: int):
     return run
 
 
-def _slots(first: dict[int, int], meta: dict):
-    """(shard, slot, record) of (task, k, record)."""
+_BLOCKS = "shard int, slots binary, block binary"
+
+
+def _slots(first: dict[int, int], meta: dict, held: int = 1 << 13):
+    """(shard, slots, block) of (task, k, record): the records that go to one shard together, compressed, as ids of two or four bytes shrink little row by row."""
+
+    def blocks(numbers: list[np.ndarray], records: list):
+        slot = permute(np.concatenate(numbers), meta["sequences"], meta["key"])
+        shard = (slot // meta["shard_slots"]).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]))
+        groups = [order[i:j] for i, j in zip(edges, edges[1:])]
+        packed = [pa.compress(b"".join([records[i] for i in g]), codec="zstd", asbytes=True) for g in groups]
+        return pa.record_batch([pa.array([shard[g[0]] for g in groups], pa.int32()), pa.array([slot[g].tobytes() for g in groups], pa.binary()), pa.array(packed, pa.binary())], names=["shard", "slots", "block"])
+
+    def run(batches):
+        numbers, records = [], []
+        for b in batches:
+            numbers.append(np.array([first[t] for t in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy())
+            records += b.column(2).to_pylist()
+            if len(records) >= held:
+                yield blocks(numbers, records)
+                numbers, records = [], []
+        if records:
+            yield blocks(numbers, records)
+
+    return run
+
+
+def _unpacked(size: int):
+    """(shard, slot, record) of blocks."""
 
     def run(batches):
         for b in batches:
-            number = np.array([first[t] for t in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
-            slot = permute(number, meta["sequences"], meta["key"]) if len(number) else number
-            yield pa.record_batch([pa.array((slot // meta["shard_slots"]).astype(np.int32)), pa.array(slot), b.column(2)], names=["shard", "slot", "record"])
+            for shard, slots, block in zip(*(b.column(i).to_pylist() for i in range(3))):
+                slot = np.frombuffer(slots, np.int64)
+                raw = pa.decompress(block, len(slot) * size, codec="zstd", asbytes=True)
+                yield pa.record_batch([pa.array(np.full(len(slot), shard, np.int32)), pa.array(slot), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())], names=["shard", "slot", "record"])
 
     return run
 
@@ -180,8 +210,9 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str = RANKS, pattern: s
     numbered.mapInArrow(_spans(meta), _SPANS).write.option("compression", "zstd").parquet(f"{path}/spans")
     if total:
         shards = -(-total // shard_slots)
-        records = made.where("k is not null").select("task", "k", "record").mapInArrow(_slots(first, meta), "shard int, slot long, record binary")
-        by_shard = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+        blocks = made.where("k is not null").select("task", "k", "record").mapInArrow(_slots(first, meta), _BLOCKS)
+        records = blocks.repartitionById(shards, F.col("shard")).mapInArrow(_unpacked(seq_len * width), "shard int, slot long, record binary")
+        by_shard = records.sortWithinPartitions("shard", "slot")
         by_shard.select("shard", F.col("record").cast("string").alias("record")).write.partitionBy("shard").option("lineSep", _TAIL.decode()).text(f"{path}/shards")
     return meta
 
