@@ -109,7 +109,7 @@ class Tree:
 
 
 def _fold(all_before: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = Tree()
         for r in pdf.sort_values("ord").itertuples():
             tree.event(r.op, r.target, r.layer, r.entry_type, r.attrs, all_before)

@@ -45,7 +45,7 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.mapInPandas(run, ENTRY)
 
 
-def _tar(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _tar(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
         for r in pdf.sort_values("ord").itertuples():
