@@ -3,7 +3,7 @@
 The relational plan turns every event into touches of a path and its ancestors and removes those that a later marker
 deletes: an equi-join on exploded ancestors. It is exact where a path keeps its type, markers come first in their layer
 and a layer has at most one opaque marker; other images, found by safe_images, go through a fold of one image at a
-time, which is exact for all.
+time, which is exact for all. So do small images, where a join costs more than the fold.
 """
 
 from __future__ import annotations
@@ -124,12 +124,18 @@ def apply_fold(e: DataFrame, all_before: bool = False) -> DataFrame:
     return e.select(*cols).groupBy("image").applyInPandas(_fold(all_before), SCHEMA)
 
 
-def merge_layers(entries: DataFrame) -> DataFrame:
-    """The merged trees of images of entries(image, layer, ord, path, entry_type, attrs): by joins where that is exact, else by the fold."""
+def merge_layers(entries: DataFrame, fold_limit: int = 200_000) -> DataFrame:
+    """The merged trees of images of entries(image, layer, ord, path, entry_type, attrs).
+
+    Images of up to fold_limit events are folded, each by one task. Larger ones go through the joins where those are exact, so that one image is the work of many tasks, and else through the fold as well.
+    """
     e = events(entries)
-    safe = safe_images(e)
-    plain, rest = (e.join(safe.where(cond).select("image"), "image", "left_semi") for cond in ("safe", "not safe"))
-    return apply_plan(plain).unionByName(apply_fold(rest))
+    large = e.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > fold_limit).select("image")
+    if large.isEmpty():
+        return apply_fold(e)
+    some = e.join(large, "image", "left_semi")
+    safe = safe_images(some).where("safe").select("image")
+    return apply_plan(some.join(safe, "image", "left_semi")).unionByName(apply_fold(e.join(safe, "image", "left_anti")))
 
 
 def missing_parents(entries: DataFrame, image: str, path: str) -> DataFrame:

@@ -211,8 +211,8 @@ def overlay_merge(t):
 
 @query(f"""
     WITH {_OVERLAY} SELECT image, path, coalesce(arg_max(entry_type, CASE WHEN explicit THEN ord END), 'dir') AS entry_type, coalesce(arg_max(attrs, CASE WHEN explicit THEN ord END), '') AS attrs FROM a GROUP BY image, path""")
-def overlay_fold(t):
-    return overlay.apply_fold(overlay.events(overlay_entries(t)))
+def overlay_plan(t):
+    return overlay.merge_layers(overlay_entries(t), fold_limit=0)
 
 
 @query(f"""

@@ -125,7 +125,7 @@ def random_images(rng, n, safe):
 def test_overlay_plan_equals_fold(spark, safe):
     rows = random_images(random.Random(11 + safe), 250, safe)
     e = spark.createDataFrame(rows, "image long, layer int, ord long, path string, entry_type string, attrs string")
-    got, want = ({tuple(r) for r in x.select("image", "path", "entry_type", "attrs").collect()} for x in (overlay.merge_layers(e), overlay.apply_fold(overlay.events(e))))
+    got, want = ({tuple(r) for r in x.select("image", "path", "entry_type", "attrs").collect()} for x in (overlay.merge_layers(e, fold_limit=0), overlay.apply_fold(overlay.events(e))))
     assert got == want
     if safe:
         assert overlay.safe_images(overlay.events(e)).where("safe").count() > 20
@@ -134,7 +134,7 @@ def test_overlay_plan_equals_fold(spark, safe):
 def test_overlay_cases(spark):
     rows = [(0, 0, 0, "usr/bin/a", "file", "0"), (0, 0, 1, "etc/conf", "file", "0"), (0, 1, 2, "usr/.wh..wh..opq", "file", ""), (0, 1, 3, "usr/lib/b", "file", "1"), (0, 2, 4, ".wh.etc", "file", "")]
     e = spark.createDataFrame(rows, "image long, layer int, ord long, path string, entry_type string, attrs string")
-    got = {(r["path"], r["entry_type"], r["attrs"]) for r in overlay.merge_layers(e).collect()}
+    got = {(r["path"], r["entry_type"], r["attrs"]) for r in overlay.merge_layers(e, fold_limit=0).collect()}
     assert got == {("usr", "dir", ""), ("usr/lib", "dir", ""), ("usr/lib/b", "file", "1")}
 
 
