@@ -32,6 +32,7 @@ from .common import bound_batches, scratch
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _TAIL = b"\n\n"
+_LEVEL = 6  # of compression: ids take half their room for a few seconds a GB
 U = np.uint64
 
 
@@ -149,16 +150,17 @@ def _sequences(vocabulary, seq_len: int, pad: int):
 _BLOCKS = "shard int, slots binary, block binary"
 
 
-def _slots(first: dict[int, int], meta: dict, held: int = 1 << 13):
+def _slots(first: dict[int, int], meta: dict, held: int = 1 << 14):
     """(shard, slots, block) of (task, k, record): the records that go to one shard together, compressed, as ids of two or four bytes shrink little row by row."""
 
     def blocks(numbers: list[np.ndarray], records: list):
+        codec = pa.Codec("zstd", compression_level=_LEVEL)
         slot = permute(np.concatenate(numbers), meta["sequences"], meta["key"])
         shard = (slot // meta["shard_slots"]).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         edges = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]))
         groups = [order[i:j] for i, j in zip(edges, edges[1:])]
-        packed = [pa.compress(b"".join([records[i] for i in g]), codec="zstd", asbytes=True) for g in groups]
+        packed = [codec.compress(b"".join([records[i] for i in g]), asbytes=True) for g in groups]
         return pa.record_batch([pa.array([shard[g[0]] for g in groups], pa.int32()), pa.array([slot[g].tobytes() for g in groups], pa.binary()), pa.array(packed, pa.binary())], names=["shard", "slots", "block"])
 
     def run(batches):
@@ -196,7 +198,7 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str = RANKS, pattern: s
     spark = docs.sparkSession
     vocabulary = read_vocabulary(spark, ranks_path, pattern)
     rows = bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(_sequences(vocabulary, seq_len, pad), _SEQUENCES).write.option("compression", "zstd").parquet(f"{path}/sequences")
+    rows.mapInArrow(_sequences(vocabulary, seq_len, pad), _SEQUENCES).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", _LEVEL).parquet(f"{path}/sequences")
     made = spark.read.schema(_SEQUENCES).parquet(f"{path}/sequences")
     first, total = {}, 0
     for r in made.where("k is not null").groupBy("task").agg(F.count("*").alias("n")).orderBy("task").collect():  # one row a task
