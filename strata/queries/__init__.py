@@ -6,10 +6,10 @@ is manifest, place, blob and repository; orders are tags; events are cache traff
 
 from __future__ import annotations
 
-from . import assertions, caching, deploy, functions, graphs, layers, lookups, sources
+from . import assembly, assertions, caching, deploy, functions, graphs, layers, lookups, sources
 from .registry import QUERIES, SQL
 
-__all__ = ["assertions", "caching", "deploy", "functions", "graphs", "layers", "lookups", "sources"]
+__all__ = ["assembly", "assertions", "caching", "deploy", "functions", "graphs", "layers", "lookups", "sources"]
 
 
 def queries() -> dict:
