@@ -9,8 +9,9 @@ hash. A segment's first level has the 64-bit hashes of its words and their count
 to the children in the second level, and a child is a 40-bit hash relative to its parent, found by a successor search
 among the parent's children. Discounted shares and leftovers are quantised logarithms of 16 bits.
 
-Learning counts bigrams in each map task, shuffles packed runs of (word, child, count) by segment, and writes each segment to a
-file in the shared folder. Scoring is a map over all documents whose tasks map those files into memory; a folder that isn't mounted is fetched once by
+Learning counts bigrams in each map task and shuffles packed runs of (word, child, count) by the first word's segment; bigrams of frequent words, which
+would swell one segment, are dealt by both words. What is kept of them, and the sums, then meet by segment, and each segment becomes a
+file in the shared folder. Frequent words are found in a bounded sample; which they are changes where counting is done, not what is counted. Scoring is a map over all documents whose tasks map those files into memory; a folder that isn't mounted is fetched once by
 each executor. Only pages that are looked up are read, and executors on a machine share them. Nothing of the size of the corpus is broadcast or comes to the driver.
 
 Cases. A null or empty text is the one token end. Rows without doc_id are scored and not learned from, and held_out. Repeated rows count as often as they
@@ -68,12 +69,39 @@ def _runs(column, limit: int = _SOME):
 # ---- learning --------------------------------------------------------------------------------------------------
 
 
+def _segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    bits = segments.bit_length() - 1
+    return (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _pair_hash(h: np.ndarray, child: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (h ^ (child * U(0x9E3779B97F4A7C15))) * U(0xD6E8FEB86659FD93)
+        return (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+
+
+def _slices(keys: np.ndarray):
+    """(key, from, to) of the runs of equal keys."""
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+    return [(int(keys[i]), i, j) for i, j in zip(edges, edges[1:]) if i < j]
+
+
+def _pack(words: np.ndarray, child: np.ndarray, counts: np.ndarray, totals: np.ndarray | None = None) -> bytes:
+    """A run: words, how many pairs each has, the pairs' children of CHILD bits and counts, and in a second round the words' totals. words has a word for each pair, or with totals for those without pairs as well."""
+    own, lengths = np.unique(words, return_counts=True)
+    if totals is not None:
+        every, sums = totals
+        lengths = np.bincount(np.searchsorted(every, own), lengths, len(every)).astype(np.uint32)
+        own = every
+    small = child.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CHILD // 8]
+    return dump([own, lengths.astype(np.uint32), small.ravel(), counts.astype(np.uint32), *([] if totals is None else [sums.astype(np.int64)])])
+
+
 class _Counter:
     """Bigrams of a map task, by numbers of its own for the words."""
 
-    def __init__(self, segments: int):
-        self.shift = U(64 - (segments.bit_length() - 1))
-        self.segments = segments
+    def __init__(self, segments: int, hot: np.ndarray):
+        self.segments, self.hot = segments, hot
         self.clear()
 
     def clear(self):
@@ -95,31 +123,27 @@ class _Counter:
         self.held += len(ids) + ends
 
     def rows(self):
-        """(segment, packed run) for each segment, and a new start."""
+        """(bucket, packed run) for each bucket, and a new start."""
         if not self.held:
             return
         pairs, counts = np.unique(np.concatenate(self.pairs), return_counts=True)
         hashes = np.fromiter(map(_hash, self.words), U, len(self.words))
-        order = np.argsort(hashes)
-        rank = np.empty(len(order), U)
-        rank[order] = np.arange(len(order), dtype=U)
-        a, b = rank[(pairs >> U(32)).astype(np.int64)], rank[(pairs & U(0xFFFFFFFF)).astype(np.int64)]
-        by = np.argsort((a << U(32)) | b)
-        a, b, counts, hashes = a[by].astype(np.int64), b[by].astype(np.int64), counts[by].astype(np.uint32), hashes[order]
-        words, starts = np.unique(a, return_index=True)
-        segment = (hashes[words] >> self.shift).astype(np.int64) if self.segments > 1 else np.zeros(len(words), np.int64)
-        runs = np.diff(np.append(starts, len(a))).astype(np.uint32)
-        edges = np.flatnonzero(np.diff(segment)) + 1
-        for i, j in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(words)]))):
-            x, y = starts[i], starts[j] if j < len(words) else len(a)
-            child = (hashes[b[x:y]] >> U(64 - CHILD)).view(np.uint8).reshape(-1, 8)[:, : CHILD // 8]
-            yield int(segment[i]), dump([hashes[words[i:j]], runs[i:j], child.ravel(), counts[x:y]])
         self.clear()
-
-
-def _count(segments: int, limit: int):
+        word, child = hashes[(pairs >> U(32)).astype(np.int64)], hashes[(pairs & U(0xFFFFFFFF)).astype(np.int64)] >> U(64 - CHILD)
+        bucket = _segment_of(word, self.segments)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+            spread = np.flatnonzero(self.hot[at] == word)
+            bucket[spread] = _segment_of(_pair_hash(word[spread], child[spread]), self.segments)
+        order = np.lexsort((word, bucket))
+        word, child, counts, bucket = word[order], child[order], counts[order], bucket[order]
+        for key, i, j in _slices(bucket):
+            yield key, _pack(word[i:j], child[i:j], counts[i:j])
+
+
+def _count(segments: int, limit: int, hot: np.ndarray):
     def run(batches):
-        c = _Counter(segments)
+        c = _Counter(segments, hot)
         out = lambda: [pa.record_batch([pa.array([s], pa.int32()), pa.array([x], pa.binary())], names=["segment", "run"]) for s, x in c.rows()]
         for b in batches:
             for _, texts in _runs(b.column(0)):
@@ -131,6 +155,29 @@ def _count(segments: int, limit: int):
     return run
 
 
+def _frequent(batches):
+    """(hash, n) of the first words of a task's bigrams."""
+    for b in batches:
+        for _, texts in _runs(b.column(0)):
+            n: dict[bytes, int] = {_START: len(texts)}
+            for w in chain.from_iterable(texts):
+                n[w] = n.get(w, 0) + 1
+            yield pa.record_batch([pa.array(np.fromiter(map(_hash, n), U, len(n)).view(np.int64)), pa.array(list(n.values()), pa.int64())], names=["h", "n"])
+
+
+def hot_words(learn: DataFrame, segments: int, max_docs: int = 10_000) -> np.ndarray:
+    """Hashes of words with over a fourth of a segment's mean share of the bigrams, in about max_docs documents of learn(doc_id, text): at most four a segment."""
+    total = learn.count()
+    if not total:
+        return np.zeros(0, U)
+    low = F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52) < max_docs / total
+    n = learn.where(low).select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = n.orderBy(F.desc("n"), "h").limit(4 * segments).toArrow()
+    counts = top["n"].to_numpy()
+    floor = n.agg(F.sum("n")).first()[0] or 0
+    return np.sort(top["h"].to_numpy()[counts * 4 * segments > floor].view(U))
+
+
 def quantise(x: np.ndarray) -> np.ndarray:
     """16 bits of a log10 from -16 to 0."""
     return np.clip(np.round(-x * 4096), 0, 65535).astype(np.uint16)
@@ -140,26 +187,45 @@ def dequantise(q: np.ndarray) -> np.ndarray:
     return q / -4096.0
 
 
-def build_segment(runs: list[list[np.ndarray]], discount: float = 0.5, least: int = 2) -> tuple[list[np.ndarray], int, int]:
-    """(levels, tokens, words) of a segment from the packed runs of all tasks."""
+def merge_runs(runs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, keys, counts, totals) of packed runs: a key is a word's place and a child, its count the sum over the runs, a word's total that of its pairs and of what the runs say."""
     words = np.unique(np.concatenate([r[0] for r in runs]))
-    keys, counts = [], []
-    for own, length, child, n in runs:
+    keys, counts, totals = [], [], np.zeros(len(words), np.int64)
+    for r in runs:
+        own, length, child, n = r[:4]
         wide = np.zeros((len(n), 8), np.uint8)
         wide[:, : CHILD // 8] = child.reshape(-1, CHILD // 8)
-        keys.append((np.repeat(np.searchsorted(words, own), length).astype(U) << U(CHILD)) | wide.view(U).ravel())
+        place = np.searchsorted(words, own)
+        keys.append((np.repeat(place, length).astype(U) << U(CHILD)) | wide.view(U).ravel())
         counts.append(n)
+        if len(r) > 4:
+            totals[place] += r[4]
     key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     by = np.argsort(key, kind="stable")
     key, n = key[by], n[by]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    key, n = key[start], np.add.reduceat(n, start)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return words, key[start], np.add.reduceat(n, start) if len(key) else n, totals
+
+
+def kept_runs(runs: list[list[np.ndarray]], segments: int, least: int) -> list[tuple[int, bytes]]:
+    """What one bucket's runs leave for each segment: the pairs that occur often enough, and the words' totals with the others in."""
+    words, key, n, _ = merge_runs(runs)
     parent = (key >> U(CHILD)).astype(np.int64)
-    total = np.bincount(parent, n, len(words)).astype(np.int64)
-    kept = (n >= least) & (words[parent] != U(END))
-    key, n, parent = key[kept], n[kept], parent[kept]
-    share = (n - discount) / total[parent]
-    codes = quantise(np.log10(share))
+    totals = np.bincount(parent, n, len(words)).astype(np.int64)
+    keep = (n >= least) & (words[parent] != U(END))
+    parent, child, n = parent[keep], key[keep] & U((1 << CHILD) - 1), n[keep]
+    out, home = [], _segment_of(words, segments)
+    for s, i, j in _slices(home):  # words are in order, and so are their segments
+        x, y = np.searchsorted(parent, (i, j))
+        out.append((s, _pack(words[parent[x:y]], child[x:y], n[x:y], (words[i:j], totals[i:j]))))
+    return out
+
+
+def build_segment(runs: list[list[np.ndarray]], discount: float = 0.5) -> tuple[list[np.ndarray], int, int]:
+    """(levels, tokens, words) of a segment from what the buckets left for it."""
+    words, key, n, total = merge_runs(runs)
+    parent = (key >> U(CHILD)).astype(np.int64)
+    codes = quantise(np.log10((n - discount) / total[parent]))
     left = np.clip(1 - np.bincount(parent, 10 ** dequantise(codes), len(words)), 1e-9, 1)
     pointers = np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=len(words)))))
     first = Sequence.build(words, 2**64 - 1)
@@ -171,13 +237,9 @@ def build_segment(runs: list[list[np.ndarray]], discount: float = 0.5, least: in
     return levels, int(total[own].sum()), int(own.sum())
 
 
-def _build(discount: float, least: int):
+def _by_segment(one):
     """Rows of one segment follow each other; a task holds one segment's runs at a time."""
 
-    def one(segment, runs):
-        levels, tokens, words = build_segment(runs, discount, least)
-        return pa.record_batch([pa.array([segment], pa.int32()), pa.array([tokens], pa.int64()), pa.array([words], pa.int64()), pa.array([dump(levels)], pa.binary())], names=["segment", "tokens", "words", "levels"])
-
     def run(batches):
         at, held = None, []
         for b in batches:
@@ -193,15 +255,33 @@ def _build(discount: float, least: int):
     return run
 
 
+def _keep(segments: int, least: int):
+    def one(bucket, runs):
+        rows = kept_runs(runs, segments, least)
+        return pa.record_batch([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["segment", "run"])
+
+    return _by_segment(one)
+
+
+def _build(discount: float):
+    def one(segment, runs):
+        levels, tokens, words = build_segment(runs, discount)
+        return pa.record_batch([pa.array([segment], pa.int32()), pa.array([tokens], pa.int64()), pa.array([words], pa.int64()), pa.array([dump(levels)], pa.binary())], names=["segment", "tokens", "words", "levels"])
+
+    return _by_segment(one)
+
+
 def train(docs: DataFrame, parts: int = 5, part: int = 1, discount: float = 0.5, least: int = 2, chunk: int = 1 << 21) -> str:
     """Learns from the documents that aren't held out and writes the model: levels/segment=../ with a file for each segment, and the totals."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = 1 << max(4, (n - 1).bit_length())
     path = scratch(spark, "lm")
-    learn = docs.where(~held_out(F.col("doc_id"), parts, part)).select(F.col("text").cast("string"))
-    runs = learn.mapInArrow(_count(segments, chunk), "segment int, run binary").repartition(n, "segment").sortWithinPartitions("segment")
-    built = materialise(runs.mapInArrow(_build(discount, least), "segment int, tokens long, words long, levels binary"), "lm-segments")
+    learn = docs.where(~held_out(F.col("doc_id"), parts, part)).select("doc_id", F.col("text").cast("string").alias("text"))
+    hot = hot_words(learn, segments)
+    runs = learn.select("text").mapInArrow(_count(segments, chunk, hot), "segment int, run binary").repartition(n, "segment").sortWithinPartitions("segment")
+    kept = runs.mapInArrow(_keep(segments, least), "segment int, run binary").repartition(n, "segment").sortWithinPartitions("segment")
+    built = materialise(kept.mapInArrow(_build(discount), "segment int, tokens long, words long, levels binary"), "lm-segments")
     # a segment is one row and becomes the bytes of one file
     built.select("segment", F.col("levels").cast("string").alias("levels")).write.partitionBy("segment").text(f"{path}/levels")
     total = built.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
@@ -255,7 +335,6 @@ class Model:
 
     def __init__(self, files: dict[int, str], meta: dict):
         self.files, self.meta, self.open = files, meta, {}
-        self.shift = U(64 - (meta["segments"].bit_length() - 1))
 
     def segment(self, s: int) -> Segment | None:
         if s not in self.open:
@@ -284,7 +363,7 @@ class Model:
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
         node, count, left = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.ones(len(h))
         share = np.zeros(len(pairs))
-        segment = (h >> self.shift).astype(np.int64)
+        segment = _segment_of(h, self.meta["segments"])
         edges = np.concatenate(([0], np.flatnonzero(np.diff(segment)) + 1, [len(h)]))
         cuts = np.searchsorted(a, edges)  # pairs are in the order of their first words
         for i, j, x, y in zip(edges, edges[1:], cuts, cuts[1:]):
