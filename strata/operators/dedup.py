@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import ancestors, base_name
+from ..session import reliable_checkpoint
 
 
 def first_by(df: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:
@@ -105,8 +106,8 @@ def running_offsets(df: DataFrame, order: list[str], length: Column, group: list
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn("offset", F.coalesce(F.sum("_len").over(w), F.lit(0)).cast("long")).drop("_len")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    # the partition's number is taken once, before anything else can move the rows
+    # stored, so that both uses see the rows in the same partitions, and so does a retried task
+    ranged = reliable_checkpoint(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum("_len").alias("_total"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_part").alias("_p"), "_before")
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
