@@ -178,7 +178,9 @@ def _links(radius: int):
 
 def links(prints: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     """(src, dst): links that connect whatever fingerprints of prints(fp), which must be distinct, are connected by differences of radius bits or fewer."""
-    v = prints.select("fp").mapInArrow(_variants(radius, parts), "cut tinyint, variant long, fp long")
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fingerprint makes over a hundred rows: its few bytes say nothing of the work, so tasks aren't left to be sized by them
+    v = prints.select("fp").repartition(n, "fp").mapInArrow(_variants(radius, parts), "cut tinyint, variant long, fp long")
     return v.repartition("cut", "variant").sortWithinPartitions("cut", "variant", "fp").mapInArrow(_links(radius), "src long, dst long")
 
 
