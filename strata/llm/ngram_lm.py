@@ -238,19 +238,15 @@ def build_segment(runs: list[list[np.ndarray]], discount: float = 0.5) -> tuple[
 
 
 def _by_segment(one):
-    """Rows of one segment follow each other; a task holds one segment's runs at a time."""
+    """one(segment, runs) of each segment of a task; there is a task for each segment."""
 
     def run(batches):
-        at, held = None, []
+        held: dict[int, list] = {}
         for b in batches:
             for s, x in zip(b.column(0).to_pylist(), b.column(1)):
-                if s != at and held:
-                    yield one(at, held)
-                    held = []
-                at = s
-                held.append(load(np.frombuffer(x.as_buffer(), np.uint8).copy()))
-        if held:
-            yield one(at, held)
+                held.setdefault(s, []).append(load(np.frombuffer(x.as_buffer(), np.uint8).copy()))
+        for s in sorted(held):
+            yield one(s, held.pop(s))
 
     return run
 
@@ -279,8 +275,8 @@ def train(docs: DataFrame, parts: int = 5, part: int = 1, discount: float = 0.5,
     path = scratch(spark, "lm")
     learn = docs.where(~held_out(F.col("doc_id"), parts, part)).select("doc_id", F.col("text").cast("string").alias("text"))
     hot = hot_words(learn, segments)
-    runs = learn.select("text").mapInArrow(_count(segments, chunk, hot), "segment int, run binary").repartition(n, "segment").sortWithinPartitions("segment")
-    kept = runs.mapInArrow(_keep(segments, least), "segment int, run binary").repartition(n, "segment").sortWithinPartitions("segment")
+    runs = learn.select("text").mapInArrow(_count(segments, chunk, hot), "segment int, run binary").repartitionById(segments, F.col("segment"))
+    kept = runs.mapInArrow(_keep(segments, least), "segment int, run binary").repartitionById(segments, F.col("segment"))
     built = materialise(kept.mapInArrow(_build(discount), "segment int, tokens long, words long, levels binary"), "lm-segments")
     # a segment is one row and becomes the bytes of one file
     built.select("segment", F.col("levels").cast("string").alias("levels")).write.partitionBy("segment").text(f"{path}/levels")
@@ -394,7 +390,7 @@ def _score(files, meta: str, folder: str | None, text_at: int, schema: pa.Schema
     def run(batches):
         m = _model(files, meta, folder)
         for b in batches:
-            for first, texts in _runs(b.column(text_at)):
+            for first, texts in _runs(b.column(text_at), 1 << 22):
                 n, known, base, score = m.score(texts)
                 own = [c.slice(first, len(texts)) for i, c in enumerate(b.columns) if i != text_at]
                 yield pa.record_batch([*own, pa.array(n), pa.array(known), pa.array(np.full(len(n), m.meta["tokens"])), pa.array(base), pa.array(score)], schema=schema)
