@@ -18,6 +18,7 @@ results are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from itertools import chain
 
@@ -129,7 +130,8 @@ class Index:
                 continue
             for r in (0, 1):
                 h = windows(np.array([_hash(t[r]) for t in tokens], np.uint64), size).tolist()
-                for at, x in enumerate(h):
+                first = {x: at for at, x in reversed(list(enumerate(h)))}  # a window that an item repeats counts once
+                for x, at in first.items():
                     if r or sum(t[0][:1] != "\x01" for t in tokens[at : at + size]) >= 2:
                         self.found[r][x].append((n, at))
                         self.total[n][r] += 1
@@ -150,19 +152,16 @@ class Index:
     def judge(self, n: int, reading: int, pairs: list[tuple[int, int]], tokens: list[tuple[str, str, str]]) -> tuple[float, bool]:
         """(share of item n's windows that one stretch of the document holds consistently, whether values differ), from (place in the document, place in the item) of windows."""
         total, span = self.total[n][reading], len(self.values[n]) + len(self.values[n]) // 2
-        best, kept = 0, False
         pairs.sort()
-        start = 0
-        while start < len(pairs):
-            stretch = [p for p in pairs[start:] if p[0] <= pairs[start][0] + span]
+        places, best, kept = [a for a, _ in pairs], 0, False
+        for start, place in enumerate(places):
+            if best >= total:
+                break
+            stretch = pairs[start : bisect_right(places, place + span)]
             if len({b for _, b in stretch}) > best:
                 good, differs = self._consistent(n, reading, stretch, tokens)
                 if good > best:
                     best, kept = good, differs
-            # the next stretch that can hold more starts at a place not yet seen as a start
-            start += 1
-            if best >= total or start > 4 * total:
-                start = max(start, next((i for i, p in enumerate(pairs) if p[0] > stretch[-1][0]), len(pairs)))
         return (best / total if total else 0.0), kept
 
     def _consistent(self, n: int, reading: int, pairs: list[tuple[int, int]], tokens) -> tuple[int, bool]:

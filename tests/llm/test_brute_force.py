@@ -413,3 +413,19 @@ def test_pipeline(spark):
     got = {r["doc_id"]: list(r["token_ids"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) <= set(want) and len(want) - len(got) <= 1  # an item with its punctuation changed is found as well
     assert all(want[i] == ids for i, ids in got.items())
+
+
+def test_repetitive_items_and_documents(spark):
+    bench = spark.createDataFrame([(1, "again " * 60), (2, "one two three four five six seven eight " * 3)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "again " * 30_000), (2, "one two three four five six seven eight " * 4_000), (3, "one two three nine " * 4_000)], "doc_id long, text string")
+    assert {r["doc_id"]: list(r["item_ids"]) for r in decontam.decontaminate(docs, bench).collect()} == {1: [1], 2: [2], 3: []}
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 12])
+def test_without_ids(spark, slots):
+    from strata.llm.common import without_ids
+
+    rows = [(i % 500, f"t{i}") for i in range(1000)] + [(None, "none")]
+    ids = spark.createDataFrame([(i,) for i in range(0, 700, 7)], "_id long")
+    got = without_ids(spark.createDataFrame(rows, "doc_id long, text string"), ids, "doc_id", slots).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for i, t in rows if i is None or i % 7)
