@@ -65,11 +65,21 @@ def decide(requests: DataFrame, rules: list[dict], default: bool = False, host:
     return requests.withColumn("_d", out).withColumns({"allow": F.col("_d.allow"), "rule": F.col("_d.rule")}).drop("_d")
 
 
-def decide_joined(requests: DataFrame, rules: DataFrame, default: bool = False) -> DataFrame:
-    """requests(id, host, repo, op) with allow and rule against a table of rules(idx, allow, host_rx, repo_rx, ops): for policies too long for an expression. Rules are broadcast, and rules whose patterns match are reduced to the first."""
+def decide_joined(requests: DataFrame, rules: DataFrame, default: bool = False, block: int = 5_000) -> DataFrame:
+    """requests(id, host, repo, op) with allow and rule against a table of rules(idx, allow, host_rx, repo_rx, ops): for policies too long for an expression.
+
+    Rules are broadcast in blocks of at most block rows by their number; a request's matches are reduced to the first.
+    """
     hit = (F.col("ops").bitwiseAND(F.col("op")) != 0) & F.expr("host rlike host_rx") & F.expr("concat('/', repo) rlike repo_rx")
-    first = requests.join(F.broadcast(rules), hit, "left").groupBy("id").agg(F.min(F.when(F.col("idx").isNotNull(), F.struct("idx", "allow"))).alias("f"))
-    return requests.join(first, "id").withColumn("allow", F.coalesce("f.allow", F.lit(default))).withColumn("rule", F.coalesce("f.idx", F.lit(-1))).drop("f")
+    top, found = rules.agg(F.max("idx")).first()[0], None
+    for low in range(0, (-1 if top is None else top) + 1, block):
+        some = rules.where((F.col("idx") >= low) & (F.col("idx") < low + block))
+        got = requests.join(F.broadcast(some), hit).select("id", F.struct("idx", "allow").alias("f"))
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return requests.withColumn("allow", F.lit(default)).withColumn("rule", F.lit(-1))
+    first = found.groupBy("id").agg(F.min("f").alias("f"))
+    return requests.join(first, "id", "left").withColumn("allow", F.coalesce("f.allow", F.lit(default))).withColumn("rule", F.coalesce("f.idx", F.lit(-1))).drop("f")
 
 
 def reachable(hosts: DataFrame, rules: list[dict], default: bool = False, host: str = "host") -> DataFrame:

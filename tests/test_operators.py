@@ -391,3 +391,16 @@ def test_malformed_lines_are_refused(spark):
 def test_specs(spark, tmp_path):
     (tmp_path / "spec.json").write_text('{"metadataTest": {"user": "root"}}')
     assert layouts.read_spec(spark, str(tmp_path / "spec.json")) == {"metadataTest": {"user": "root"}}
+
+
+def test_rules_in_blocks(spark):
+    rows = [(i, i % 3 == 0, policy.host_regex("*"), policy.repo_regex(f"r{i % 7}/**"), 1 << (i % 4)) for i in range(40)]
+    rules = spark.createDataFrame(rows, "idx int, allow boolean, host_rx string, repo_rx string, ops int")
+    requests = spark.createDataFrame([(i, "h", f"r{i % 9}/x", 1 << (i % 4)) for i in range(60)], "id int, host string, repo string, op int")
+    want = {}
+    for i in range(60):
+        first = next(((r[0], r[1]) for r in rows if r[0] % 7 == i % 9 and r[4] == 1 << (i % 4)), (-1, False))
+        want[i] = first
+    for block in (3, 1000):
+        assert {r["id"]: (r["rule"], r["allow"]) for r in policy.decide_joined(requests, rules, block=block).collect()} == want
+    assert {r["rule"] for r in policy.decide_joined(requests, rules.limit(0)).collect()} == {-1}
