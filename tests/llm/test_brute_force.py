@@ -415,6 +415,35 @@ def test_pipeline(spark):
     assert all(want[i] == ids for i, ids in got.items())
 
 
+def test_pipeline_near_copies(spark):
+    """The stage keeps one of each group of texts of Jaccard similarity 0.8 or more on five words, and no fewer."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        w = ["w%d" % rng.randrange(5000) for _ in range(rng.choice((4, 30, 100, 300)))]
+        for k in range(rng.choice((1, 2, 4))):
+            v = list(w)
+            for _ in range(k * len(v) // 70):
+                v[rng.randrange(len(v))] = "changed%d" % rng.randrange(5000)
+            texts.append(" ".join(v))
+    rng.shuffle(texts)
+    texts += [" ".join(["group"] * 3 + ["g%d" % j for j in range(90)] + ["end%d" % i]) for i in range(100)]  # one bucket of many
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    s, far = Sets(), 0
+    for a in range(len(texts)):
+        s.find(a)
+        for b in range(a):
+            if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+                s.join(a, b)
+                far += (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 4
+    assert far > 10  # pairs that op6's links leave
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()}
+    assert got == {i for i in range(len(texts)) if s.find(i) == i}
+
+
 def test_repetitive_items_and_documents(spark):
     bench = spark.createDataFrame([(1, "again " * 60), (2, "one two three four five six seven eight " * 3)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "again " * 30_000), (2, "one two three four five six seven eight " * 4_000), (3, "one two three nine " * 4_000)], "doc_id long, text string")
