@@ -11,44 +11,54 @@ from .registry import query
 NOW, DAYS = "2001-06-01 00:00:00", 86_400
 
 # orders are manifests of repositories (customers' nations); every tenth is an index of the nine after it, every seventh refers to the one before it
+# queries that end in _all read whole tables; the others, and their SQL, the first orders
 
 
-def manifests(t):
-    o = t.orders.where("o_orderkey < 6000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+def manifests(t, whole=False):
+    o = (t.orders if whole else t.orders.where("o_orderkey < 6000")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     kind = F.when(k % 10 == 0, "index").otherwise("manifest")
     return o.select((F.col("c_nationkey") % 1).alias("repo"), k.alias("digest"), kind.alias("kind"), F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("last_used"))
 
 
-def edges(t):
-    m = manifests(t)
+def edges(t, whole=False):
+    m = manifests(t, whole)
     k = F.col("digest")
     child = m.where("kind = 'index'").select("repo", k.alias("src"), F.explode(F.sequence(k + 1, k + 9)).alias("dst"), F.lit("manifest").alias("kind"))
     back = m.where("digest % 7 = 0").select("repo", k.alias("src"), (k - 1).alias("dst"), F.lit("subject").alias("kind"))
     loop = m.where("digest % 500 = 0").select("repo", k.alias("src"), k.alias("dst"), F.lit("manifest").alias("kind"))
-    blob = t.lineitem.where("l_orderkey < 6000 and l_orderkey % 10 <> 0").select(F.lit(0).alias("repo"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("blob").alias("kind"))
+    blob = (t.lineitem if whole else t.lineitem.where("l_orderkey < 6000")).where("l_orderkey % 10 <> 0").select(F.lit(0).alias("repo"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("blob").alias("kind"))
     return child.unionByName(back).unionByName(loop).unionByName(blob.distinct())
 
 
-def tags(t):
-    o = t.orders.where("o_orderkey >= 6000 and o_orderkey < 6400")
+def tags(t, whole=False):
+    o = t.orders if whole else t.orders.where("o_orderkey >= 6000 and o_orderkey < 6400")
     return o.select(F.lit(0).alias("repo"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("tag"), (F.col("o_orderkey") - 1000).alias("digest"), F.when(F.col("o_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("last_used"))
 
 
-_M = "SELECT 0 AS repo, o_orderkey AS digest, CASE WHEN o_orderkey % 10 = 0 THEN 'index' ELSE 'manifest' END AS kind, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS last_used FROM orders WHERE o_orderkey < 6000"
-_T = "SELECT 0 AS repo, 't' || o_orderkey AS tag, o_orderkey - 1000 AS digest, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS last_used FROM orders WHERE o_orderkey >= 6000 AND o_orderkey < 6400"
-_B = "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey < 6000 AND l_orderkey % 10 <> 0"
+_M_ALL = "SELECT 0 AS repo, o_orderkey AS digest, CASE WHEN o_orderkey % 10 = 0 THEN 'index' ELSE 'manifest' END AS kind, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS last_used FROM orders"
+_T_ALL = "SELECT 0 AS repo, 't' || o_orderkey AS tag, o_orderkey - 1000 AS digest, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS last_used FROM orders"
+_B_ALL = "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey % 10 <> 0"
+_M = f"{_M_ALL} WHERE o_orderkey < 6000"
+_T = f"{_T_ALL} WHERE o_orderkey >= 6000 AND o_orderkey < 6400"
+_B = _B_ALL.replace("WHERE ", "WHERE l_orderkey < 6000 AND ")
 _FRESH = f"(last_used IS NULL OR TIMESTAMP '{NOW}' - last_used < INTERVAL 60 DAY)"
-_LIVE = f"""
-    RECURSIVE m AS ({_M}), t AS ({_T}), b AS ({_B}),
+
+
+def _live_sql(m, t, b):
+    return f"""
+    RECURSIVE m AS ({m}), t AS ({t}), b AS ({b}),
     e AS (SELECT digest AS src, unnest(range(digest + 1, digest + 10)) AS dst FROM m WHERE kind = 'index' UNION ALL SELECT digest - 1, digest FROM m WHERE digest % 7 = 0 UNION ALL SELECT digest, digest FROM m WHERE digest % 500 = 0),
     live AS (SELECT digest FROM m WHERE {_FRESH} UNION SELECT t.digest FROM t JOIN m USING (digest) WHERE t.last_used IS NULL OR TIMESTAMP '{NOW}' - t.last_used < INTERVAL 30 DAY
              UNION SELECT e.dst FROM live JOIN e ON e.src = live.digest JOIN m ON m.digest = e.dst),
     parts AS (SELECT p_partkey AS digest, p_size FROM part), live_blobs AS (SELECT dst AS digest FROM b WHERE src IN (SELECT digest FROM live) UNION SELECT digest FROM parts WHERE p_size = 1)"""
 
 
-def _live(t):
-    return graph.mark(manifests(t), tags(t), edges(t), NOW, 60 * DAYS, 30 * DAYS)
+_LIVE, _LIVE_ALL = _live_sql(_M, _T, _B), _live_sql(_M_ALL, _T_ALL, _B_ALL)
+
+
+def _live(t, whole=False):
+    return graph.mark(manifests(t, whole), tags(t, whole), edges(t, whole), NOW, 60 * DAYS, 30 * DAYS)
 
 
 def _blobs(t):
@@ -56,28 +66,55 @@ def _blobs(t):
     return t.part.select(F.col("p_partkey").alias("digest"), F.when(F.col("p_size") == 1, F.lit(NOW).cast("timestamp_ntz")).otherwise(old).alias("last_used"))
 
 
+def _live_blobs(t, whole=False):
+    return graph.live_blobs(_live(t, whole), edges(t, whole), _blobs(t), NOW, 60 * DAYS)
+
+
+def _sweep_sql(live):
+    return f"""
+    WITH {live},
+    gone AS (SELECT 'manifest' AS what, CAST(digest AS VARCHAR) AS name FROM m WHERE digest NOT IN (SELECT digest FROM live)
+             UNION ALL SELECT 'tag', tag FROM t WHERE NOT (last_used IS NULL OR TIMESTAMP '{NOW}' - last_used < INTERVAL 30 DAY) OR digest NOT IN (SELECT digest FROM live)
+             UNION ALL SELECT 'blob', CAST(digest AS VARCHAR) FROM parts WHERE digest NOT IN (SELECT digest FROM live_blobs))
+    SELECT what, count(*) AS removed, min(name) AS first FROM gone GROUP BY what"""
+
+
+def _sweep(t, whole=False):
+    live = _live(t, whole)
+    digests = graph.live_blobs(live, edges(t, whole), _blobs(t), NOW, 60 * DAYS)
+    s = graph.sweep(manifests(t, whole), tags(t, whole), _blobs(t), live, digests, NOW, 30 * DAYS)
+    named = [s[k].select(F.lit(w).alias("what"), F.col(c).cast("string").alias("name")) for k, w, c in (("manifests", "manifest", "digest"), ("tags", "tag", "tag"), ("blobs", "blob", "digest"))]
+    return named[0].unionByName(named[1]).unionByName(named[2]).groupBy("what").agg(F.count("*").alias("removed"), F.min("name").alias("first"))
+
+
 @query(f"WITH {_LIVE} SELECT 0 AS repo, digest FROM live")
 def gc_mark(t):
     return _live(t)
 
 
+@query(f"WITH {_LIVE_ALL} SELECT 0 AS repo, digest FROM live")
+def gc_mark_all(t):
+    return _live(t, whole=True)
+
+
 @query(f"WITH {_LIVE} SELECT DISTINCT digest FROM live_blobs")
 def gc_live_blobs(t):
-    return graph.live_blobs(_live(t), edges(t), _blobs(t), NOW, 60 * DAYS)
+    return _live_blobs(t)
 
 
-@query(f"""
-    WITH {_LIVE},
-    gone AS (SELECT 'manifest' AS what, CAST(digest AS VARCHAR) AS name FROM m WHERE digest NOT IN (SELECT digest FROM live)
-             UNION ALL SELECT 'tag', tag FROM t WHERE NOT (last_used IS NULL OR TIMESTAMP '{NOW}' - last_used < INTERVAL 30 DAY) OR digest NOT IN (SELECT digest FROM live)
-             UNION ALL SELECT 'blob', CAST(digest AS VARCHAR) FROM parts WHERE digest NOT IN (SELECT digest FROM live_blobs))
-    SELECT what, count(*) AS removed, min(name) AS first FROM gone GROUP BY what""")
+@query(f"WITH {_LIVE_ALL} SELECT DISTINCT digest FROM live_blobs")
+def gc_live_blobs_all(t):
+    return _live_blobs(t, whole=True)
+
+
+@query(_sweep_sql(_LIVE))
 def gc_sweep(t):
-    live = _live(t)
-    digests = graph.live_blobs(live, edges(t), _blobs(t), NOW, 60 * DAYS)
-    s = graph.sweep(manifests(t), tags(t), _blobs(t), live, digests, NOW, 30 * DAYS)
-    named = [s[k].select(F.lit(w).alias("what"), F.col(c).cast("string").alias("name")) for k, w, c in (("manifests", "manifest", "digest"), ("tags", "tag", "tag"), ("blobs", "blob", "digest"))]
-    return named[0].unionByName(named[1]).unionByName(named[2]).groupBy("what").agg(F.count("*").alias("removed"), F.min("name").alias("first"))
+    return _sweep(t)
+
+
+@query(_sweep_sql(_LIVE_ALL))
+def gc_sweep_all(t):
+    return _sweep(t, whole=True)
 
 
 @query(f"""
