@@ -134,11 +134,11 @@ def manifest_references(t):
 # ---- pulled images: orders below 3000; multiples of 10 are indexes of the next 3, others manifests -------------
 
 
-def entries(t):
-    o = t.orders.where("o_orderkey < 3000")
+def entries(t, whole=False):
+    o, li = (t.orders, t.lineitem) if whole else (t.orders.where("o_orderkey < 3000"), t.lineitem.where("l_orderkey < 3000"))
     k = F.col("o_orderkey")
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    layers = t.lineitem.where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("lk")).agg(F.array_sort(F.collect_set(F.concat(F.lit("l"), F.col("l_suppkey").cast("string")))).alias("layers"))
+    layers = li.groupBy(F.col("l_orderkey").alias("lk")).agg(F.array_sort(F.collect_set(F.concat(F.lit("l"), F.col("l_suppkey").cast("string")))).alias("layers"))
     kids = F.transform(F.sequence(k + 1, k + 3), lambda c: F.concat(F.lit("m"), c.cast("string")))
     none = F.array().cast("array<string>")
     index = k % 10 == 0
@@ -146,64 +146,136 @@ def entries(t):
     return e.select(name("m", k).alias("digest"), F.when(index, "index").otherwise("manifest").alias("kind"), F.when(~index, name("c", k % 100)).alias("config"), F.when(index, none).otherwise(F.coalesce("layers", none)).alias("layers"), F.when(index, kids).otherwise(none).alias("manifests"), k.alias("k"))
 
 
-def tops(t):
+def tops(t, whole=False):
     k = F.col("k")
-    return entries(t).where("k % 10 in (0, 2, 5)").select("digest", k.alias("ord"), F.element_at(F.array(*map(F.lit, ("shallow", "lazy", "eager"))), (k % 3 + 1).cast("int")).alias("handling"))
+    return entries(t, whole).where("k % 10 in (0, 2, 5)").select("digest", k.alias("ord"), F.element_at(F.array(*map(F.lit, ("shallow", "lazy", "eager"))), (k % 3 + 1).cast("int")).alias("handling"))
 
 
-_E = """
-    e AS (SELECT o_orderkey AS k, 'm' || o_orderkey AS digest, o_orderkey % 10 = 0 AS idx FROM orders WHERE o_orderkey < 3000),
-    l AS (SELECT DISTINCT l_orderkey AS k, 'l' || l_suppkey AS layer FROM lineitem WHERE l_orderkey < 3000 AND l_orderkey % 10 <> 0),
+
+def _images_sql(orders="", lines=""):
+    return f"""
+    e AS (SELECT o_orderkey AS k, 'm' || o_orderkey AS digest, o_orderkey % 10 = 0 AS idx FROM orders{orders}),
+    l AS (SELECT DISTINCT l_orderkey AS k, 'l' || l_suppkey AS layer FROM lineitem WHERE {lines}l_orderkey % 10 <> 0),
     top AS (SELECT k, digest, idx, ['shallow', 'lazy', 'eager'][k % 3 + 1] AS handling FROM e WHERE k % 10 IN (0, 2, 5)),
     img AS (SELECT k AS root, k AS man, handling FROM top WHERE NOT idx UNION ALL SELECT k, unnest([k + 1, k + 2, k + 3]), handling FROM top WHERE idx),
     clo AS (SELECT 'm' || k AS root, 'm' || k AS blob, 'manifest' AS part, handling FROM top UNION ALL SELECT 'm' || root, 'm' || man, 'manifest', handling FROM img WHERE root <> man
             UNION ALL SELECT 'm' || root, 'c' || (man % 100), 'config', handling FROM img JOIN e ON e.k = man UNION ALL SELECT 'm' || root, layer, 'layer', handling FROM img JOIN l ON l.k = man)"""
 
 
+_E, _E_ALL = _images_sql(" WHERE o_orderkey < 3000", "l_orderkey < 3000 AND "), _images_sql()
+
+
+def _image_closure(t, whole=False):
+    c = graph.closure(tops(t, whole).select(F.col("digest").alias("root")), entries(t, whole))
+    return c.groupBy("root", "blob", "part").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_E} SELECT root, blob, part, count(*) AS n FROM clo GROUP BY ALL")
 def image_closure(t):
-    c = graph.closure(tops(t).select(F.col("digest").alias("root")), entries(t))
-    return c.groupBy("root", "blob", "part").agg(F.count("*").alias("n"))
+    return _image_closure(t)
+
+
+@query(f"WITH {_E_ALL} SELECT root, blob, part, count(*) AS n FROM clo GROUP BY ALL")
+def image_closure_all(t):
+    return _image_closure(t, whole=True)
+
+
+def _reverse_blob_index(t, whole=False):
+    return graph.images_of_blobs(tops(t, whole), entries(t, whole))
 
 
 @query(f"WITH {_E} SELECT blob, list_sort(list(root)) AS images FROM clo GROUP BY blob")
 def reverse_blob_index(t):
-    return graph.images_of_blobs(tops(t), entries(t))
+    return _reverse_blob_index(t)
+
+
+@query(f"WITH {_E_ALL} SELECT blob, list_sort(list(root)) AS images FROM clo GROUP BY blob")
+def reverse_blob_index_all(t):
+    return _reverse_blob_index(t, whole=True)
+
+
+def _layer_handling(t, whole=False):
+    e = entries(t, whole)
+    return graph.layer_handling(e.where("kind = 'manifest'"), tops(t, whole), e)
 
 
 @query(f"""
     WITH {_E}, c AS (SELECT man AS k, root AS o, handling FROM img) SELECT 'm' || e.k AS digest, coalesce(arg_min(handling, o), 'shallow') AS handling FROM e LEFT JOIN c ON c.k = e.k WHERE NOT idx GROUP BY e.k""")
 def layer_handling(t):
-    e = entries(t)
-    return graph.layer_handling(e.where("kind = 'manifest'"), tops(t), e)
+    return _layer_handling(t)
+
+
+@query(f"""
+    WITH {_E_ALL}, c AS (SELECT man AS k, root AS o, handling FROM img) SELECT 'm' || e.k AS digest, coalesce(arg_min(handling, o), 'shallow') AS handling FROM e LEFT JOIN c ON c.k = e.k WHERE NOT idx GROUP BY e.k""")
+def layer_handling_all(t):
+    return _layer_handling(t, whole=True)
+
+
+def _blobs_to_create(t, whole=False):
+    return graph.blobs_to_create(entries(t, whole), tops(t, whole))
 
 
 @query(f"""
     WITH {_E}, h AS (SELECT e.k, coalesce((SELECT arg_min(handling, root) FROM img WHERE man = e.k), 'shallow') AS handling FROM e WHERE NOT idx)
     SELECT digest AS blob, 'manifest' AS kind FROM e UNION SELECT 'c' || (k % 100), 'file' FROM e WHERE NOT idx UNION SELECT layer, CASE WHEN handling = 'eager' THEN 'file' ELSE 'lazy_file' END FROM h JOIN l USING (k) WHERE handling <> 'shallow'""")
 def blobs_to_create(t):
-    return graph.blobs_to_create(entries(t), tops(t))
+    return _blobs_to_create(t)
+
+
+@query(f"""
+    WITH {_E_ALL}, h AS (SELECT e.k, coalesce((SELECT arg_min(handling, root) FROM img WHERE man = e.k), 'shallow') AS handling FROM e WHERE NOT idx)
+    SELECT digest AS blob, 'manifest' AS kind FROM e UNION SELECT 'c' || (k % 100), 'file' FROM e WHERE NOT idx UNION SELECT layer, CASE WHEN handling = 'eager' THEN 'file' ELSE 'lazy_file' END FROM h JOIN l USING (k) WHERE handling <> 'shallow'""")
+def blobs_to_create_all(t):
+    return _blobs_to_create(t, whole=True)
+
+
+def _image_files(t, whole=False):
+    return graph.image_files(tops(t, whole), entries(t, whole))
 
 
 @query(f"""
     WITH {_E} SELECT DISTINCT root, blob, '@' || CASE WHEN part = 'layer' AND handling = 'lazy' THEN 'lazy_' ELSE 'blob_' END || blob || CASE WHEN part = 'manifest' THEN '//:manifest.json' ELSE '//:blob' END AS label FROM clo WHERE part <> 'layer' OR handling <> 'shallow'""")
 def image_files(t):
-    return graph.image_files(tops(t), entries(t))
+    return _image_files(t)
+
+
+@query(f"""
+    WITH {_E_ALL} SELECT DISTINCT root, blob, '@' || CASE WHEN part = 'layer' AND handling = 'lazy' THEN 'lazy_' ELSE 'blob_' END || blob || CASE WHEN part = 'manifest' THEN '//:manifest.json' ELSE '//:blob' END AS label FROM clo WHERE part <> 'layer' OR handling <> 'shallow'""")
+def image_files_all(t):
+    return _image_files(t, whole=True)
+
+
+def _reachable_facts(t, whole=False):
+    return graph.reachable_facts(tops(t, whole), entries(t, whole)).select("digest")
 
 
 @query(f"WITH {_E} SELECT DISTINCT e.digest FROM e WHERE k IN (SELECT k FROM top) OR k IN (SELECT man FROM img JOIN top ON top.k = root WHERE idx)")
 def reachable_facts(t):
-    return graph.reachable_facts(tops(t), entries(t)).select("digest")
+    return _reachable_facts(t)
 
 
-@query(f"WITH {_E} SELECT 'm' || (k + 1) AS digest FROM e WHERE k + 1 NOT IN (SELECT k FROM e)")
-def facts_to_fetch(t):
+@query(f"WITH {_E_ALL} SELECT DISTINCT e.digest FROM e WHERE k IN (SELECT k FROM top) OR k IN (SELECT man FROM img JOIN top ON top.k = root WHERE idx)")
+def reachable_facts_all(t):
+    return _reachable_facts(t, whole=True)
+
+
+def _facts_to_fetch(t, whole=False):
     from ..operators.lookups import missing
 
-    e = entries(t)
+    e = entries(t, whole)
     return missing(e.select(F.concat(F.lit("m"), (F.col("k") + 1).cast("string")).alias("digest")), e, on=["digest"])
 
 
+@query(f"WITH {_E} SELECT 'm' || (k + 1) AS digest FROM e WHERE k + 1 NOT IN (SELECT k FROM e)")
+def facts_to_fetch(t):
+    return _facts_to_fetch(t)
+
+
+@query(f"WITH {_E_ALL} SELECT 'm' || (k + 1) AS digest FROM e WHERE k + 1 NOT IN (SELECT k FROM e)")
+def facts_to_fetch_all(t):
+    return _facts_to_fetch(t, whole=True)
+
+
 @query("""
     SELECT l_partkey AS blob, l_suppkey AS repository, list_sort(list(DISTINCT n_name)) AS registries FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = (s_nationkey + l_linenumber) % 25 GROUP BY ALL""")
 def blob_sources(t):
