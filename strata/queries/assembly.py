@@ -63,6 +63,16 @@ def manifest_rewrite(t):
     return assembly.rewrite_manifests(m, layers).select("image", "digest", "size")
 
 
+@query("""
+    WITH l AS (SELECT l_orderkey AS image, string_agg('{"digest":"d' || l_partkey || '"}', ',' ORDER BY l_linenumber, '{"digest":"d' || l_partkey || '"}') AS l FROM lineitem GROUP BY l_orderkey),
+         b AS (SELECT o_orderkey AS image, '{"schemaVersion":2,"layers":[' || coalesce(l, '') || ']' || CASE WHEN o_orderkey % 2 = 0 THEN ',"x":{"kept":1}' ELSE '' END || '}' AS body FROM orders LEFT JOIN l ON image = o_orderkey)
+    SELECT image, 'sha256:' || sha256(body) AS digest, CAST(strlen(body) AS INTEGER) AS size FROM b""")
+def manifest_rewrite_all(t):
+    m = t.orders.select(F.col("o_orderkey").alias("image"), F.lit('"schemaVersion":2').alias("head"), F.when(F.col("o_orderkey") % 2 == 0, '"x":{"kept":1}').otherwise("").alias("tail"))
+    layers = t.lineitem.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("layer_idx"), F.concat(F.lit('{"digest":"d'), F.col("l_partkey").cast("string"), F.lit('"}')).alias("descriptor"))
+    return assembly.rewrite_manifests(m, layers).select("image", "digest", "size")
+
+
 @query("SELECT n_regionkey AS idx, list(n_name ORDER BY n_nationkey % 3 = 0, n_nationkey) AS digests FROM nation GROUP BY n_regionkey")
 def index_assembly(t):
     c = t.nation.select(F.col("n_regionkey").alias("index"), F.when(F.col("n_nationkey") % 3 == 0, "seekable").otherwise("manifest").alias("kind"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("digest"))

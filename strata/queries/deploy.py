@@ -47,6 +47,14 @@ def merged_operations(t):
     return union_all(o.where("op_idx < 4000"), o.where("op_idx >= 9000")).groupBy("command").agg(F.count("*").alias("n"), F.sum("op_idx").alias("checksum"))
 
 
+@query(f"WITH o AS ({_OPS}) SELECT command, count(*) AS n, CAST(sum(k) AS BIGINT) AS checksum FROM o GROUP BY command")
+def merged_operations_all(t):
+    from ..operators.sets import union_all
+
+    o = operations(t)
+    return union_all(o.where("op_idx < 4000"), o.where("op_idx >= 4000")).groupBy("command").agg(F.count("*").alias("n"), F.sum("op_idx").alias("checksum"))
+
+
 @query("SELECT 'blobs' AS blob_repository, TRUE AS forbid_layer_push, '' AS sign_setting")
 def merged_settings(t):
     n = F.col("n_nationkey")

@@ -105,6 +105,11 @@ def unused_overrides(t):
     return lookups.unused(t.customer.select((F.col("c_custkey") * 3).alias("path"), "c_custkey"), t.orders.where("o_orderkey < 2000").select(F.col("o_orderkey").alias("path")), "path").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey * 3 NOT IN (SELECT o_orderkey FROM orders)")
+def unused_overrides_all(t):
+    return lookups.unused(t.customer.select((F.col("c_custkey") * 3).alias("path"), "c_custkey"), t.orders.select(F.col("o_orderkey").alias("path")), "path").select("c_custkey")
+
+
 @query("""
     SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'q' || quality ELSE 'root' END AS uname, CAST(coalesce(toxic, 420) AS INTEGER) AS mode FROM documents LEFT JOIN labels USING (doc_id)""")
 def metadata_overrides(t):
@@ -120,6 +125,13 @@ def layer_diff_ids(t):
     return lookups.diff_ids(m.select(F.transform("x", lambda s: s["l_partkey"]).alias("layers"), F.transform("x", lambda s: s["l_suppkey"]).alias("diff_ids")))
 
 
+@query("""
+    SELECT DISTINCT l_partkey AS layer, l_suppkey AS diff_id FROM lineitem""")
+def layer_diff_ids_all(t):
+    m = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    return lookups.diff_ids(m.select(F.transform("x", lambda s: s["l_partkey"]).alias("layers"), F.transform("x", lambda s: s["l_suppkey"]).alias("diff_ids")))
+
+
 @query("""
     WITH s AS (SELECT doc_id, 0 AS p, CASE WHEN doc_id % 2 = 0 THEN 'not_found' WHEN doc_id % 7 = 1 THEN 'error' ELSE 'found' END AS s, n_chars AS z FROM documents
                UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 3 = 0 THEN 'not_found' ELSE 'found' END, n_chars + 1 FROM documents),

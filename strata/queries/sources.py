@@ -158,6 +158,14 @@ def tar_import(t):
     return archives.import_entries(own, t.pages.select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("ord")))
 
 
+@query("""
+    WITH a AS (SELECT doc_id, doc_id AS ord FROM documents), m AS (SELECT max(ord) AS m FROM a)
+    SELECT doc_id, ord FROM a UNION ALL SELECT page_id, page_id + m + 1 FROM pages, m""")
+def tar_import_all(t):
+    own = t.documents.select("doc_id", F.col("doc_id").alias("ord"))
+    return archives.import_entries(own, t.pages.select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("ord")))
+
+
 # ---- layouts and manifests -------------------------------------------------------------------------------------
 
 

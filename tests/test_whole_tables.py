@@ -9,7 +9,7 @@ from tests.test_queries import TABLES, plain
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["gc_mark", "gc_live_blobs", "gc_sweep", "image_closure", "reverse_blob_index", "layer_handling", "blobs_to_create", "image_files", "reachable_facts", "facts_to_fetch"])
+@pytest.mark.parametrize("name", ["gc_mark", "gc_live_blobs", "gc_sweep", "image_closure", "reverse_blob_index", "layer_handling", "blobs_to_create", "image_files", "reachable_facts", "facts_to_fetch", "manifest_rewrite", "layer_diff_ids", "unused_overrides", "tar_import", "merged_operations", "tree_dedup", "repeated_paths"])
 def test_whole_tables(spark, name):
     con = duckdb.connect()
     for t in TABLES:
