@@ -2,7 +2,7 @@
 
 Position p of the filter holds a bit for each language; a lookup of an n-gram ANDs the words at its positions and
 so returns all languages that contain it. A text's hits per language, corrected for each slice's rate of false
-positives, decide. An n-gram belongs to a language if at least min_share of its training documents (and two) hold it.
+positives, decide. An n-gram belongs to a language if at least min_share of its training documents (and two, where it has two) hold it.
 
 N-grams are three characters around a letter, of the lower-cased text with every other character as a blank.
 Learning reads whole texts of a bounded sample of about max_docs documents a language, those whose ids hash lowest; the filter has a fixed
@@ -125,7 +125,7 @@ def train(docs: DataFrame, parts: int = 4, part: int = 2, max_docs: int = 4000,
     table = np.zeros((1 << BITS, max(1, -(-len(langs) // WORD))), np.int64)
     if langs:
         spark = docs.sparkSession
-        share = spark.createDataFrame([(lang, i, min(1.0, max_docs / n), int(max(2, min_share * min(n, max_docs)))) for i, (lang, n) in enumerate(sizes)], "lang string, lang_no int, share double, least long")
+        share = spark.createDataFrame([(lang, i, min(1.0, max_docs / n), int(max(min(2, n), min_share * min(n, max_docs)))) for i, (lang, n) in enumerate(sizes)], "lang string, lang_no int, share double, least long")
         low = (F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)) < F.col("share")
         sample = known.join(F.broadcast(share), "lang").where(low).select("lang_no", "text")
         counts = sample.mapInArrow(_document_grams, "lang_no int, gram long, docs long").groupBy("lang_no", "gram").agg(F.sum("docs").alias("docs"))

@@ -121,6 +121,14 @@ def test_topk_cases(spark):
     assert topk.top_k(v.limit(0)).count() == 0
 
 
+def test_language_of_one_document(spark):
+    rows = [(i, "the quick brown fox jumps over the lazy dog", "en") for i in range(40)]
+    lone = next(i for i in range(100, 200) if not spark.range(i, i + 1).select(langid.held_out(langid.F.col("id"), 4, 2)).first()[0])
+    rows += [(lone, "zażółć gęślą jaźń według każdego", "pl")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[lone] == "pl" and got[0] == "en"
+
+
 def test_pipeline_stages(spark, tmp_path, labels, benchmark):
     import corpus_pipeline
 
