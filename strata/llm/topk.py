@@ -6,9 +6,12 @@ value's bin alone, until the bin is one score wide. The last pass keeps the scor
 equal to it, the smallest ids that are still needed. A block has a bounded number of queries and a pass sends at
 most queries x bins counts to the driver; scores are never stored or shuffled as a whole.
 
-Cases. Vectors that are null or hold null or non-finite components take no part, nor do rows without an id and
-vectors with components too large for an exact 64-bit inner product. Of rows that share an id, one counts, the one
-with the smallest bytes. Vectors of another length than the query's are no candidates. Queries with fewer than k
+Inner products are exact at any size: in 64-bit floats or integers where the norms prove that these hold them, else in Python's
+integers. Vectors long enough for that are set apart, so that a few of them don't slow the others down.
+
+Cases. Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Every other row does: rows that share an
+id are candidates of each other, and each is a query of its own where the id is one. Scores beyond 64 bits rank by their exact value and are shown as the
+nearest 64-bit number. Vectors of another length than the query's are no candidates. Queries with fewer than k
 candidates return them all, those with none have no row. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -22,61 +25,104 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch
 
 _RESULT = "query_id long, rank int, vec_id long, score long"
-_SAFE = float(2**53)
+_FLOAT, _INT = 1 << 53, 1 << 62
+_WIDE = 1 << 30  # vectors of a norm below it have products below 2^60
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _ceiling(norm: float, dim: int) -> int:
+    """A bound of the norm of the quantised vector, from that of the vector in floats."""
+    n = int(min(norm, 1e308)) + 1 if norm > 1e15 else norm
+    return (n * 2048 * (dim + 1)) if norm > 1e15 else int(1024 * n * (1 + 1e-9)) + dim + 1
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """floor(1024 x) as Python integers; from 2^53 on a float is an integer."""
+    return np.array([int(v) * 1024 if abs(v) >= _FLOAT else int(np.floor(1024 * v)) for v in x.ravel().tolist()], object).reshape(x.shape)
+
 
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.array([min(max(int(v), _LOW), _HIGH) for v in x], np.int64)
 
-def _quantise(batches):
-    """Rows of (id, dimension, squared norm, little-endian int64 components)."""
+
+def _vectors(batches):
+    """Rows of (id, dimension, norm, whether its products may need more than 64 bits, components as little-endian doubles)."""
     for b in batches:
-        ids, dims, norms, blobs = [], [], [], []
+        ids, dims, norms, wide, blobs = [], [], [], [], []
         for i, v in zip(b.column(0).to_pylist(), b.column(1)):
             if i is None or not v.is_valid or v.values.null_count:
                 continue
-            x = np.floor(1024 * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
-            if not np.isfinite(x).all() or (len(x) and np.abs(x).max() >= np.sqrt(2.0**62 / len(x))):
+            x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
+            if not np.isfinite(x).all():
                 continue
+            top = float(np.abs(x).max()) if len(x) else 0.0
+            with np.errstate(over="ignore"):
+                norm = min(top * float(np.sqrt(np.square(x / top).sum())), 1.7e308) if top else 0.0
             ids.append(i)
             dims.append(len(x))
-            norms.append(float(x @ x))
-            blobs.append(x.astype("<i8").tobytes())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(blobs, pa.binary())], names=["id", "dim", "norm2", "v"])
+            norms.append(norm)
+            wide.append(_ceiling(norm, len(x)) >= _WIDE)
+            blobs.append(x.tobytes())
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(wide, pa.bool_()), pa.array(blobs, pa.binary())], names=["id", "dim", "norm", "wide", "v"])
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    v = vectors.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(_quantise, "id long, dim int, norm2 double, v binary")
-    return materialise(v.groupBy("id").agg(F.min(F.struct("v", "dim", "norm2")).alias("m")).select("id", "m.*"), "vectors")
+def vectors_of(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The vectors that take part, with a number for each row."""
+    v = vectors.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(_vectors, "id long, dim int, norm double, wide boolean, v binary")
+    return materialise(v.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
 class _Scorer:
     """Scores of a block of queries against batches of candidates, exactly, with each query's own row left out."""
 
-    def __init__(self, ids: np.ndarray, mat: np.ndarray, exact: bool):
-        self.ids, self.mat, self.exact, self.at = ids, mat.astype(np.float64) if exact else mat, exact, {int(x): i for i, x in enumerate(ids)}
-
-    def __call__(self, batch, rows: int = 1024):
+    def __init__(self, rows: np.ndarray, mat: np.ndarray, bound: int, wide: bool):
+        """bound: of the products with candidates that aren't wide, if the queries aren't; wide: whether the queries are."""
+        self.at, self.wide, self.raw, self.big = {int(x): i for i, x in enumerate(rows)}, wide, mat, None
+        self.exact = bound < _FLOAT
+        self.mat = None if wide else np.floor(1024 * mat) if self.exact else np.floor(1024 * mat).astype(np.int64)
+        self.step = max(16, (1 << 21) // max(1, len(rows)))
+
+    def _scores(self, v: np.ndarray, wide: bool) -> np.ndarray:
+        if wide or self.wide:
+            if self.big is None:
+                self.big = _whole(self.raw)
+            return self.big @ _whole(v).T if v.shape[1] else np.zeros((len(self.raw), len(v)), object)
+        x = np.floor(1024 * v)
+        return (self.mat @ x.T).astype(np.int64) if self.exact else self.mat @ x.T.astype(np.int64)
+
+    def __call__(self, batch):
         """(ids, scores of shape queries x candidates, whether each counts), in slices of bounded size."""
-        ids = batch.column(0).to_numpy()
-        for a in range(0, len(ids), rows):
-            own = ids[a : a + rows]
-            v = np.frombuffer(b"".join(batch.column(1).slice(a, rows).to_pylist()), "<i8").reshape(len(own), self.mat.shape[1])
-            s = (self.mat @ v.T.astype(np.float64)).astype(np.int64) if self.exact else self.mat @ v.T
-            counts = np.ones(s.shape, bool)
-            for j, x in enumerate(own.tolist()):
-                if x in self.at:
-                    counts[self.at[x], j] = False
-            yield own, s, counts
+        ids, rows, wide = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        for kind in (False, True):
+            mine = np.flatnonzero(wide == kind)
+            for a in range(0, len(mine), self.step):
+                own = mine[a : a + self.step]
+                v = np.frombuffer(b"".join(batch.column(3).take(pa.array(own)).to_pylist()), "<f8").reshape(len(own), self.raw.shape[1])
+                s = self._scores(v, kind)
+                counts = np.ones(s.shape, bool)
+                for j, x in enumerate(rows[own].tolist()):
+                    if x in self.at:
+                        counts[self.at[x], j] = False
+                yield ids[own], s, counts
 
 
 def _count(block, lo: np.ndarray, width: np.ndarray, open_: np.ndarray, bins: int):
+    """How many scores fall in each bin of each open query. With limits beyond 64 bits 64-bit scores are looked up among the bins' edges."""
+
     def run(batches):
         score, total = _Scorer(*block.value), np.zeros((len(lo), bins), np.int64)
         which = np.flatnonzero(open_)
+        edges = [_clipped(lo[i] + width[i] * np.arange(bins + 1, dtype=object)) for i in which] if lo.dtype == object else None
         for b in batches:
             for _, s, ok in score(b):
                 s, ok = s[which], ok[which]
-                at = (s - lo[which, None]) // width[which, None]
-                ok &= (at >= 0) & (at < bins)
-                flat = (np.arange(len(which))[:, None] * bins + at)[ok]
+                if edges is not None and s.dtype != object:
+                    at = np.array([np.searchsorted(e[:-1], x, "right") - 1 for e, x in zip(edges, s)])
+                    ok &= s < np.array([e[-1] for e in edges])[:, None]
+                else:
+                    at = (s - lo[which, None]) // width[which, None]
+                ok &= ((at >= 0) & (at < bins)).astype(bool)
+                flat = (np.arange(len(which))[:, None] * bins + at)[ok].astype(np.int64)
                 total[which] += np.bincount(flat, minlength=len(which) * bins).reshape(len(which), bins)
         q, n = np.nonzero(total)
         yield pa.record_batch([pa.array(q.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(total[q, n])], names=["q", "bin", "n"])
@@ -84,48 +130,63 @@ def _count(block, lo: np.ndarray, width: np.ndarray, open_: np.ndarray, bins: in
     return run
 
 
-def _keep(block, kth: np.ndarray, need: np.ndarray):
-    """Scores above the kth value, and of those equal to it the smallest ids in the task that may be needed."""
+def _keep(block, kth: np.ndarray, need: np.ndarray, limit: int):
+    """Scores above the kth value, and of those equal to it the smallest ids in the task that may be needed. order is a score as bytes that sort like it, where 64 bits aren't enough."""
+    size = (2 * limit).bit_length() // 8 + 1
+    names = ["q", "vec_id", "score", "order"]
+
+    def rows(q, ids, s):
+        order = [(int(x) + limit).to_bytes(size, "big") for x in s] if kth.dtype == object else [None] * len(q)
+        return pa.record_batch([pa.array(q.astype(np.int32)), pa.array(ids), pa.array(_clipped(s) if s.dtype == object else s), pa.array(order, pa.binary())], names=names)
 
     def run(batches):
-        score = _Scorer(*block.value)
-        names = ["query_id", "vec_id", "score"]
+        score, small = _Scorer(*block.value), _clipped(kth)
         tied = [np.array([], np.int64) for _ in kth]
         for b in batches:
             for ids, s, ok in score(b):
-                q, j = np.nonzero(ok & (s > kth[:, None]))
-                yield pa.record_batch([pa.array(score.ids[q]), pa.array(ids[j]), pa.array(s[q, j])], names=names)
-                equal = ok & (s == kth[:, None])
+                k = kth if s.dtype == object else small
+                q, j = np.nonzero(ok & (s > k[:, None]).astype(bool))
+                yield rows(q, ids[j], s[q, j])
+                equal = ok & (s == k[:, None]).astype(bool) & (kth == k)[:, None]
                 for i in np.flatnonzero(equal.any(axis=1)):
                     tied[i] = np.sort(np.concatenate((tied[i], ids[equal[i]])))[: need[i]]
         q = np.repeat(np.arange(len(kth)), [len(t) for t in tied])
-        yield pa.record_batch([pa.array(score.ids[q]), pa.array(np.concatenate([*tied, np.array([], np.int64)])), pa.array(kth[q])], names=names)
+        yield rows(q, np.concatenate([*tied, np.array([], np.int64)]), kth[q])
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 2048, bins: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by every, its k highest inner products with the other rows, ties to smaller ids."""
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 4096, bins: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by every, its k highest inner products with the other rows, ties to smaller ids.
+
+    With thousands of queries a block a pass over the candidates is bound by the products, not by reading them.
+    """
     spark = vectors.sparkSession
     sc, out = spark.sparkContext, scratch(spark, "topk")
-    table = quantised(vectors, id_col, vec_col)
+    table = vectors_of(vectors, id_col, vec_col)
     queries = table.where(F.col("id") % every == 0)
-    shapes = table.groupBy("dim").agg(F.max("norm2").alias("most")).join(queries.groupBy("dim").agg(F.count("*").alias("n")), "dim").orderBy("dim")
+    most = table.groupBy("dim").agg(F.max("norm").alias("most"), F.max(F.when(~F.col("wide"), F.col("norm"))).alias("narrow"))
+    shapes = queries.groupBy("dim", "wide").agg(F.count("*").alias("n")).join(most, "dim").orderBy("dim", "wide")
     for shape in shapes.toLocalIterator():
-        candidates, last = table.where(F.col("dim") == shape["dim"]).select("id", "v"), None
+        dim = shape["dim"]
+        candidates, last = table.where(F.col("dim") == dim).select("id", "row", "wide", "v"), None
+        mine = queries.where((F.col("dim") == dim) & (F.col("wide") == shape["wide"])).select("id", "row", "norm", "v")
         while True:
-            mine = queries.where(F.col("dim") == shape["dim"])
-            rows = (mine if last is None else mine.where(F.col("id") > last)).orderBy("id").limit(block).collect()
+            rows = (mine if last is None else mine.where((F.col("id") > last[0]) | ((F.col("id") == last[0]) & (F.col("row") > last[1])))).orderBy("id", "row").limit(block).collect()
             if not rows:
                 break
-            last = rows[-1]["id"]
+            last = rows[-1]["id"], rows[-1]["row"]
             ids = np.array([r["id"] for r in rows], np.int64)
-            mat = np.frombuffer(b"".join(r["v"] for r in rows), "<i8").reshape(len(rows), shape["dim"])
+            mat = np.frombuffer(b"".join(r["v"] for r in rows), "<f8").reshape(len(rows), dim)
             # no score is beyond the product of the norms
-            bound = np.ceil(np.sqrt(np.array([r["norm2"] for r in rows])) * np.sqrt(shape["most"]) * (1 + 1e-9)).astype(np.int64) + 1
-            sent = sc.broadcast((ids, mat, bool(bound.max() < _SAFE)))
+            own = [_ceiling(r["norm"], dim) for r in rows]
+            bound = [x * _ceiling(shape["most"], dim) + 1 for x in own]
+            limit = max(bound)
+            kind = np.int64 if limit < _INT else object
+            sent = sc.broadcast((np.array([r["row"] for r in rows], np.int64), mat, max(own) * _ceiling(shape["narrow"] or 0.0, dim), shape["wide"]))
+            bound = np.array(bound, kind)
             lo, width = -bound, (2 * bound + bins) // bins
-            open_, above, kth = np.ones(len(ids), bool), np.zeros(len(ids), np.int64), np.full(len(ids), np.iinfo(np.int64).min)
+            open_, above, kth = np.ones(len(ids), bool), np.zeros(len(ids), np.int64), np.array([-limit - 1] * len(ids), kind)
             while open_.any():
                 counted = candidates.mapInArrow(_count(sent, lo, width, open_, bins), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
                 hist = np.zeros((len(ids), bins), np.int64)
@@ -137,13 +198,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 2048,
                 i = np.flatnonzero(open_)
                 above[i] = over[i, at[i]] - hist[i, at[i]]
                 lo[i] += at[i] * width[i]
-                done = i[width[i] == 1]
+                done = i[(width[i] == 1).astype(bool)]
                 kth[done] = lo[done]
                 open_[done] = False
                 width = np.maximum(1, (width + bins - 1) // bins)
-            kept = candidates.mapInArrow(_keep(sent, kth, k - above), "query_id long, vec_id long, score long")
-            best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-            best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+            kept = candidates.mapInArrow(_keep(sent, kth, k - above, limit), "q int, vec_id long, score long, order binary")
+            best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("order"), "vec_id"))).where(F.col("rank") <= k)
+            named = F.broadcast(spark.createDataFrame([(n, i) for n, i in enumerate(ids.tolist())], "n int, query_id long"))
+            best.join(named, F.col("q") == F.col("n")).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
             sent.destroy()
             if len(rows) < block:
                 break

@@ -125,6 +125,28 @@ def test_topk(spark, block):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("block,bins", [(3, 256), (4096, 16)])
+def test_topk_of_large_components_and_repeated_ids(spark, block, bins):
+    """Exact scores beyond 2^53 and 2^63, with rows that share an id, queries among them."""
+    rng = random.Random(block)
+    rows = []
+    for i in range(160):
+        size = rng.choice((1.0, 1.0, 1.0, 1e3, 3e6, 1e9, 1e18, 1e30, 3e38, 1e300, 1.7e308) if i % 3 == 0 else (1.0, 1e4, 2e6))
+        rows.append((rng.choice((0, 100, 200, 300)) if i % 9 == 0 else rng.randrange(40), [rng.choice((1.0, rng.uniform(-1, 1), -0.5)) * size for _ in range(3)]))
+    rows += rows[:30]
+    floor = lambda x: int(x) * 1024 if abs(x) >= 2**53 else math.floor(x * 1024)
+    q = [(i, [floor(x) for x in v]) for i, v in rows]
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for n, (i, v) in enumerate(q):
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(q) if m != n)[:10]
+            want += [(i, r + 1, j, clip(-s)) for r, (s, j) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, block=block, bins=bins).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # ---- tokens ----------------------------------------------------------------------------------------------------
 
 

@@ -114,10 +114,11 @@ def test_warc_cases(spark):
 
 def test_topk_cases(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, []), (200, []), (9, [1e30, 0.0]), (1, [1.0, 0.0]), (300, [1.0, 2.0, 3.0])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as id", "'x' as dim", "'x' as rank", "'x' as score")
+    rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, []), (200, []), (1, [1.0, 0.0]), (300, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as id", "'x' as dim", "'x' as rank", "'x' as score", "'x' as row", "'x' as wide")
     out = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, k=3).orderBy("query_id", "rank").collect()]
-    assert out == [(0, 1, 1, 1048576), (0, 2, 2, 1048576), (0, 3, 100, 524288), (100, 1, 0, 524288), (100, 2, 1, 524288), (100, 3, 2, 524288), (200, 1, 8, 0)]
+    # both rows of id 1 count
+    assert out == [(0, 1, 1, 1048576), (0, 2, 1, 1048576), (0, 3, 2, 1048576), (100, 1, 0, 524288), (100, 2, 1, 524288), (100, 3, 1, 524288), (200, 1, 8, 0)]
     assert topk.top_k(v.limit(0)).count() == 0
 
 
