@@ -61,7 +61,8 @@ class Sequence:
         places = tops + np.arange(n)
         high = np.zeros((((int(upper) >> bits) + n) >> 6) + 2, U)
         np.bitwise_or.at(high, places >> 6, _ONE << (places & 63).astype(U))
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64))).astype(np.uint32)
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
+        ones = ones.astype(np.uint32 if len(high) < 1 << 26 else np.int64)  # places in the unary part of up to 2^32 bits
         return cls(n, bits, _pack(values & U((1 << bits) - 1), bits), high, ones)
 
     def parts(self) -> list[np.ndarray]:
@@ -71,7 +72,7 @@ class Sequence:
         """Values at places i."""
         if not len(i):
             return np.zeros(0, U)
-        word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
         at = (word << 6) + _select(self.high[word], i - self.ones[word].astype(np.int64))
         return ((at - i).astype(U) << U(self.bits)) | _unpack(self.low, self.bits, i)
 
@@ -96,6 +97,28 @@ class Sequence:
         found[found] = _unpack(self.low, self.bits, start[found]) == low[found]
         return start, found
 
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Place of x, or -1. Most values are settled by the first value with their high part; the others are searched for."""
+        x = x.astype(U)
+        top, low = (x >> U(self.bits)).astype(np.int64), x & U((1 << self.bits) - 1)
+        at = np.where(top > 0, self._zeros(np.maximum(top - 1, 0)) + 1, 0)
+        bits = self._two(at)
+        place = at - top
+        out = np.full(len(x), -1)
+        some = np.flatnonzero(bits & U(1))
+        value = _unpack(self.low, self.bits, place[some])
+        out[some[value == low[some]]] = place[some[value == low[some]]]
+        more = some[(value < low[some]) & (bits[some] == U(3))]
+        if len(more):
+            i, ok = self.successor(x[more])
+            out[more[ok]] = i[ok]
+        return out
+
+    def _two(self, at: np.ndarray) -> np.ndarray:
+        """The bits at a place of the unary part and the next."""
+        word, shift = at >> 6, (at & 63).astype(U)
+        return ((self.high[word] >> shift) | np.where(shift == 63, self.high[np.minimum(word + 1, len(self.high) - 1)] << U(1), U(0))) & U(3)
+
     def _zeros(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th (from 0) 0 of the unary part."""
         before = self._before
@@ -105,7 +128,7 @@ class Sequence:
     @property
     def _before(self) -> np.ndarray:
         if not hasattr(self, "_zeros_before"):
-            self._zeros_before = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones
+            self._zeros_before = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones.astype(np.int64)
         return self._zeros_before
 
 

@@ -9,10 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from strata.llm import components, decontam, elias_fano, langid, linededup, ngram_lm, quality, sentencepiece_scan, simhash, token_shards, topk, warc
+from strata.llm import words as word_hashes
 from strata.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -308,41 +310,74 @@ def test_elias_fano():
         q = np.concatenate([v, rng.integers(0, u, 500, dtype=np.uint64)])
         at, found = s.successor(q)
         assert (at == np.searchsorted(v, q)).all() and (found == np.isin(q, v)).all()
+        place = s.find(q)
+        assert ((place >= 0) == found).all() and (v[place[found]] == q[found]).all()
 
 
 def test_lm(spark):
     docs = table(spark, SF, "documents")
     got = {r["doc_id"]: r for r in ngram_lm.train_and_score(docs.select("doc_id", "text")).collect()}
     rows = docs.collect()
-    tokens = {r["doc_id"]: [*words(r["text"]), "\n"] for r in rows}
+    tokens = {r["doc_id"]: ["^", *words(r["text"]), "\n"] for r in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    c, pairs, before = Counter(), Counter(), Counter()
+    c = Counter()
     for i, w in tokens.items():
         if not held[i]:
-            c.update(w)
-            pairs.update(zip(["^", *w], w))
-            before.update(["^", *w[:-1]])
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    kept = defaultdict(dict)
-    for (a, b), k in pairs.items():
-        if k >= 2:
-            kept[a][b] = (k - 0.5) / before[a]
-    left = {a: 1 - sum(x.values()) for a, x in kept.items()}
+            for k in range(1, 5):
+                c.update(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+    single = {g[0]: n for g, n in c.items() if len(g) == 1 and g != ("^",)}
+    n, v = sum(single.values()), len(single)
+    kids = defaultdict(dict)
+    for g, k in c.items():
+        if len(g) > 1 and k >= 2:
+            kids[g[:-1]][g[-1]] = (k - 0.5) / c[g[:-1]]
+    left = {g: 1 - sum(x.values()) for g, x in kids.items()}
+
+    def p(context, w):
+        if not context:
+            return (single.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+        return kids.get(context, {}).get(w, 0) + left.get(context, 1) * p(context[1:], w)
+
     # the model is a distribution: over all words and the unknown one
-    a = max(kept, key=lambda x: len(kept[x]))
-    assert sum(kept[a].get(w, 0) + left[a] * p(w) for w in c) + left[a] * p("no such word") == pytest.approx(1)
+    context = max((g for g in kids if len(g) == 3), key=lambda g: len(kids[g]))
+    assert sum(p(context, w) for w in single) + p(context, "no such word") == pytest.approx(1)
     gain = 0
     for i, w in tokens.items():
         r = got[i]
-        base = sum(math.log10(p(x)) for x in w)
-        score = sum(math.log10(kept.get(x, {}).get(y, 0) + left.get(x, 1) * p(y)) for x, y in zip(["^", *w], w))
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(c[x] > 0 for x in w), n, held[i])
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        score = sum(math.log10(p(tuple(w[max(0, j - 3) : j]), w[j])) for j in range(1, len(w)))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) - 1, sum(x in single for x in w[1:]), n, held[i])
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and abs(r["score"] - score) < 1e-3 * len(w)
         gain += (r["score"] - r["base_score"]) * held[i]
     assert gain > 0  # better than words alone on documents that it hasn't seen
 
 
+def test_lm_counts_beyond_32_bits():
+    big = 3_000_000_000
+    seq, _ = word_hashes.sequences(pa.array(["a b", "a c"]))
+    b, c = ngram_lm.windows(seq)
+    rows = [(seq, b, c, np.where(np.arange(len(seq)) < 4, big, 1)) for _ in range(2)]
+    (segment, run), *more = ngram_lm.kept_runs(rows, 1, 2)
+    assert not more
+    levels, tokens, found = ngram_lm.build_segment([elias_fano.load(np.frombuffer(run, np.uint8))])
+    assert tokens == 2 * (3 * big + 3) and found == 4
+    s = ngram_lm.Segment(np.frombuffer(elias_fano.dump(levels), np.uint8))
+    a, b = seq[1:2], seq[2:3]
+    node, count = s.find(a)
+    assert count[0] == 2 * big + 2
+    _, share = s.child(0, node, b >> np.uint64(24))
+    assert share[0] == pytest.approx((2 * big - 0.5) / (2 * big + 2), rel=1e-3)
+
+
+def test_word_hashes():
+    texts = ["Hello  World\n foo", "", None, " ", "x" * 700_000 + " b " + "c" * 300_000, "hello WORLD", "Ä ä é", "\x1c\x85 x"]
+    seq, n = word_hashes.sequences(pa.array(["zz", *texts]).slice(1))
+    flat = [w for t in texts for w in ["<", *words(t), ">"]]
+    assert n.tolist() == [len(words(t)) for t in texts] and len(seq) == len(flat)
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip(flat, seq.tolist())) and len(set(seen.values())) == len(seen)
+
+
 def test_quality_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     out = quality.classify(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
