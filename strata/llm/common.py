@@ -61,17 +61,21 @@ def bound_batches(df: DataFrame, limit: str = "4m") -> DataFrame:
     return df
 
 
-def without_ids(df: DataFrame, ids: DataFrame, column: str, slots: int = 1 << 24) -> DataFrame:
-    """df without the rows whose column is among ids(_id). Rows without a value stay.
-
-    A bitmap of the ids' hashes, of slots bits whatever their number, is broadcast; rows that it clears stay where they are, and only the rest, the rows that
-    go and a few others, are shuffled to meet the ids. With many more ids than slots all rows are.
-    """
+def in_ids(df: DataFrame, ids: DataFrame, column: str, slots: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose column isn't among ids(_id), rows where it may be), by a broadcast bitmap of the ids' hashes, of slots bits whatever their number."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
     bits = ids.select(place("_id").alias("_s")).groupBy(F.floor(F.col("_s") / 64).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_bits"))
     bits = materialise(bits, "bitmap")  # at most slots / 64 rows
     at = place(column)
     marked = df.withColumn("_at", F.floor(at / 64)).withColumn("_bit", (at % 64).cast("int")).join(F.broadcast(bits), F.col("_at") == F.col("_w"), "left")
     maybe = F.col(column).isNotNull() & F.coalesce(F.expr("getbit(_bits, _bit) = 1"), F.lit(False))
-    clear, rest = (marked.where(c).select(df.columns) for c in (~maybe, maybe))
+    return marked.where(~maybe).select(df.columns), marked.where(maybe).select(df.columns)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str, slots: int = 1 << 24) -> DataFrame:
+    """df without the rows whose column is among ids(_id). Rows without a value stay.
+
+    Rows that the bitmap clears stay where they are, and only the rest, the rows that go and a few others, are shuffled to meet the ids. With many more ids than slots all rows are.
+    """
+    clear, rest = in_ids(df, ids, column, slots)
     return clear.unionByName(rest.join(ids, F.col(column) == F.col("_id"), "left_anti"))

@@ -428,14 +428,90 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize("limit", [8_000_000, 10])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize("many", [10_000, 0])
+def test_decontamination(spark, many):
     bench = spark.createDataFrame([(1, ITEM), (2, "yes no")], "item_id long, text string")
     docs = spark.createDataFrame([(i, t) for i, (t, _, _) in TEXTS.items()], "doc_id long, text string")
-    out = {r["doc_id"]: (list(r["item_ids"]), list(r["reparameterised"])) for r in decontam.decontaminate(docs, bench, limit=limit).collect()}
+    out = {r["doc_id"]: (list(r["item_ids"]), list(r["reparameterised"])) for r in decontam.decontaminate(docs, bench, many=many).collect()}
     assert {i: out[i] for i in TEXTS if i != 7} == {i: (a, b) for i, (_, a, b) in TEXTS.items() if i != 7}
 
 
+@pytest.mark.parametrize("many", [10_000, 0])
+def test_each_row_is_judged_by_its_own_text(spark, many):
+    bench = spark.createDataFrame([(1, ITEM), (2, "yes no"), (3, ITEM), (3, "yes no")], "item_id long, text string")
+    rows = [(10, ITEM), (10, "clean text of some words that no item has"), (None, ITEM), (None, "clean text of some other words"), (11, "yes no"), (11, None), (12, ""), (10, ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = decontam.decontaminate(docs, bench, keep_text=True, many=many).collect()
+    want = {ITEM: [1, 3], "yes no": [2, 3]}
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted((str(i), str(t)) for i, t in rows)
+    assert all(r["item_ids"] == want.get(r["text"], []) and r["contaminated"] == (r["text"] in want) for r in out)
+
+
+def brute_items(text, items, size=5, share=0.8):
+    """Items in a text by comparing each of its windows with each of theirs, token by token."""
+    tokens = [c for w in decontam.words_of(text) if (c := decontam.canonical(w))[1]]
+    found = {}
+    for item, (item_id, item_text) in enumerate(items):
+        own = [c for w in decontam.words_of(item_text) if (c := decontam.canonical(w))[1]]
+        if 0 < len(own) < size:
+            if [t[1] for t in own] == [t[1] for t in tokens]:
+                found[item] = (item_id, 1.0, False)
+            continue
+        best = (0.0, False)
+        for r in (0, 1):
+            seen, windows = set(), []
+            for at in range(len(own) - size + 1):
+                w = tuple(t[r] for t in own[at : at + size])
+                if w not in seen and (r or sum(t[0][0] != "\x01" for t in own[at : at + size]) >= 2):
+                    windows.append((at, w))
+                seen.add(w)
+            pairs = [(a, at, w) for a in range(len(tokens) - size + 1) for at, w in windows if tuple(t[r] for t in tokens[a : a + size]) == w]
+            for start, _, _ in pairs:
+                stretch = [p for p in pairs if start <= p[0] <= start + len(own) + len(own) // 2]
+                votes = defaultdict(Counter)
+                slots = lambda a, at, w: [((w[i], own[at + i][2]), tokens[a + i][2]) for i in range(size) if w[i][0] == "\x01"]
+                for p in stretch:
+                    for slot, value in slots(*p):
+                        votes[slot][value] += 1
+                chosen = {slot: max(v, key=lambda x: (v[x], x == slot[1], x)) for slot, v in votes.items()}
+                good = {p[1] for p in stretch if all(chosen[slot] == value for slot, value in slots(*p))}
+                differs = any(slot[1] != v for slot, v in chosen.items())
+                if windows and (len(good) / len(windows), not differs) > (best[0], not best[1]):
+                    best = (len(good) / len(windows), differs)
+        if best[0] >= share:
+            found[item] = (item_id, *best)
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(31)
+    vocabulary = "Ann Bob Cleo has had 3 7 12 4.5 km miles apples pears gives takes the a of to and then walks home runs today kg".split()
+    items = [(i // 2, " ".join(rng.choices(vocabulary, k=rng.choice((2, 4, 9, 20, 30))))) for i in range(40)]
+    names, numbers = ["Ann", "Bob", "Cleo", "Dora"], ["3", "7", "12", "4.5", "99"]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.choice((0, 1, 2))):
+            t = rng.choice(items)[1].split()
+            swap = {x: rng.choice(names) for x in names} | {x: rng.choice(numbers) for x in numbers}
+            kind = rng.random()
+            t = [swap.get(w, w) if kind < 0.5 else w for w in t]
+            if kind > 0.8 and len(t) > 6:
+                t[rng.randrange(len(t))] = "other"
+            parts.append(" ".join(t))
+        texts.append(" ".join([*rng.choices(vocabulary, k=rng.choice((0, 0, 6, 30))), *parts, *rng.choices(vocabulary, k=rng.choice((0, 0, 10)))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.decontaminate(docs, bench).collect()}
+    hit = 0
+    for i, t in enumerate(texts):
+        want = brute_items(t, items)
+        hit += bool(want)
+        assert list(got[i]["item_ids"]) == sorted({x for x, _, _ in want.values()}), (t, want, got[i])
+        assert got[i]["coverage"] == pytest.approx(max((c for _, c, _ in want.values()), default=0.0))
+    assert 40 < hit < 120
+
+
 def test_planted_passages(spark):
     bench, docs = table(spark, SF, "benchmark"), table(spark, SF, "documents")
     out = {r["doc_id"]: set(r["item_ids"]) for r in decontam.decontaminate(docs, bench).collect()}
