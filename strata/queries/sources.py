@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kv
 from ..operators import dedup, images
 from ..session import scratch
-from ..sources import archives, layouts, mtree, params
+from ..sources import archives, formats, layouts, mtree, params
 from .layers import files
 from .registry import query
 
@@ -143,6 +143,19 @@ def mtree_round_trip(t):
     return back.select("path", mtree.keep(F.col("keywords"), ["type", "size", "mode", "sha256", "xattr"]).alias("items"))
 
 
+@query("""
+    SELECT source AS spec, lang AS path, 'dir' AS type, '0755' AS mode, CAST(NULL AS VARCHAR) AS size FROM documents GROUP BY ALL
+    UNION ALL SELECT source, lang || '/café ' || doc_id, 'file', '0644', CAST(n_chars AS VARCHAR) FROM documents UNION ALL SELECT DISTINCT source, 'full/name', 'file', '0600', '1' FROM documents""")
+def mtree_relative(t):
+    """Specs with settings, folders that are entered and left, and escaped names; a spec for each source."""
+    line = F.concat(F.lit("caf\\303\\251\\040"), F.col("doc_id").cast("string"), F.lit(" size="), F.col("n_chars").cast("string"))
+    folders = t.documents.groupBy("source", "lang").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    folder = F.concat("lang", F.lit(" type=dir \\\n    mode=0755\n"), "body", F.lit("\n..\n"))
+    spec = folders.groupBy(F.col("source").alias("spec")).agg(F.concat(F.lit("#mtree v2.0\n/set type=file mode=0644\n"), F.array_join(F.sort_array(F.collect_list(folder)), ""), F.lit("/unset mode\n./full/name mode=0600 size=1\n")).alias("content"))
+    k = lambda c: F.col("keywords")[c].alias(c)
+    return mtree.parse_specs(spec).select("spec", "path", k("type"), k("mode"), k("size"))
+
+
 @query("""
     SELECT p_partkey, CASE p_size % 7 WHEN 5 THEN 'dir' WHEN 2 THEN 'link' WHEN 3 THEN 'char' WHEN 4 THEN 'block' WHEN 6 THEN 'fifo' ELSE 'file' END AS type, ['xattr.a=' || to_base64(encode(p_type)), 'xattr.b=' || to_base64(encode(p_brand))] AS attributes FROM part""")
 def mtree_types(t):
@@ -150,18 +163,10 @@ def mtree_types(t):
     return t.part.select("p_partkey", mtree.entry_type((F.col("p_size") % 7).cast("string")).alias("type"), mtree.xattrs(pax).alias("attributes"))
 
 
-@query("""
-    WITH a AS (SELECT doc_id, doc_id AS ord FROM documents WHERE doc_id < 500), m AS (SELECT max(ord) AS m FROM a)
-    SELECT doc_id, ord FROM a UNION ALL SELECT page_id, page_id + m + 1 FROM pages, m""")
-def tar_import(t):
-    own = t.documents.where("doc_id < 500").select("doc_id", F.col("doc_id").alias("ord"))
-    return archives.import_entries(own, t.pages.select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("ord")))
-
-
 @query("""
     WITH a AS (SELECT doc_id, doc_id AS ord FROM documents), m AS (SELECT max(ord) AS m FROM a)
     SELECT doc_id, ord FROM a UNION ALL SELECT page_id, page_id + m + 1 FROM pages, m""")
-def tar_import_all(t):
+def tar_import(t):
     own = t.documents.select("doc_id", F.col("doc_id").alias("ord"))
     return archives.import_entries(own, t.pages.select(F.col("page_id").alias("doc_id"), F.col("page_id").alias("ord")))
 
@@ -172,42 +177,78 @@ def tar_import_all(t):
 @query("SELECT sha256(text) AS digest, length(any_value(text)) AS n FROM documents GROUP BY 1")
 def cas_folder(t):
     path = scratch(t.spark, "cas")
-    layouts.write_cas(t.documents.select(F.sha2("text", 256).alias("digest"), F.col("text").alias("content")), path)
-    return layouts.read_cas(t.spark, path).select("digest", F.char_length("content").cast("long").alias("n"))
+    formats.write_cas(t.documents.select(F.sha2("text", 256).alias("digest"), F.col("text").alias("content")), path)
+    return formats.read_cas(t.spark, path).select("digest", F.char_length(F.decode("content", "UTF-8")).cast("long").alias("n"))
+
+
+_IMAGES = """
+    WITH p AS (SELECT page_id, html, '{"architecture":"amd64","os":"linux","page":' || page_id || '}' AS config FROM pages),
+         i AS (SELECT *, '{"schemaVersion":2,"config":{"mediaType":"c","digest":"sha256:' || sha256(config) || '","size":' || strlen(config) || '},"layers":[{"mediaType":"l","digest":"sha256:' || sha256(html) || '","size":' || strlen(html) || '}]}' AS body FROM p)"""
+
+
+def _layout(t):
+    """A layout with an image for each page: a config of its own and the page as its layer."""
+    path, digest = scratch(t.spark, "layout"), lambda c: F.concat(F.lit('"sha256:'), F.sha2(c, 256), F.lit('","size":'), F.octet_length(c).cast("string"))
+    p = t.pages.select("page_id", "html", F.concat(F.lit('{"architecture":"amd64","os":"linux","page":'), F.col("page_id").cast("string"), F.lit("}")).alias("config"))
+    body = F.concat(F.lit('{"schemaVersion":2,"config":{"mediaType":"c","digest":'), digest("config"), F.lit('},"layers":[{"mediaType":"l","digest":'), digest("html"), F.lit("}]}"))
+    m = p.select(F.col("page_id").alias("ord"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("ref"), F.lit("application/vnd.oci.image.manifest.v1+json").alias("media_type"), body.alias("body"))
+    formats.write_layout(m, p.select(F.col("html").alias("content")).union(p.select("config")), path)
+    return path
 
 
-@query("SELECT 'p' || page_id AS ref, sha256(html) AS digest, strlen(html) AS size FROM pages")
+@query(f"""{_IMAGES}
+    SELECT row_number() OVER (ORDER BY page_id) - 1 AS ord, 'p' || page_id AS ref, sha256(body) AS digest, strlen(body) AS size FROM i""")
 def oci_layout(t):
-    path = scratch(t.spark, "layout")
-    p = t.pages
-    layouts.write_layout(p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("ref"), F.sha2("html", 256).alias("digest"), F.col("html").alias("body")), path)
-    return layouts.read_layout(t.spark, path).select("ref", "digest", "size")
+    return formats.read_layout(t.spark, _layout(t)).select("ord", "ref", "digest", "size")
 
 
-@query("SELECT hash, count(*) AS n FROM (SELECT sha256(text) AS hash FROM documents UNION ALL SELECT sha256(html) FROM pages) GROUP BY hash")
+@query(f"""{_IMAGES}
+    SELECT DISTINCT sha256(body) AS digest, 'config' AS part, sha256(config) AS blob, strlen(config) AS size FROM i UNION SELECT sha256(body), 'layer', sha256(html), strlen(html) FROM i""")
+def oci_layout_parts(t):
+    path = _layout(t)
+    index = formats.read_layout(t.spark, path)
+    parts = formats.layout_parts(formats.layout_blobs(t.spark, path, index))
+    blobs = formats.layout_blobs(t.spark, path).select(F.col("digest").alias("blob"), F.octet_length("content").cast("long").alias("n"))
+    return parts.join(blobs, "blob").where("size = n").select("digest", "part", "blob", "size")
+
+
+@query("SELECT source AS manifest, 'blob' AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord, sha256(text) AS hash FROM documents")
+def content_manifest_blobs(t):
+    return formats.read_content_manifests(_manifest_files(t), "blob")
+
+
+@query("SELECT kind, hash, count(*) AS n FROM (SELECT 'blob' AS kind, sha256(text) AS hash FROM documents UNION ALL SELECT 'node', sha256(lang) FROM documents UNION ALL SELECT 'tree', sha256(source) FROM (SELECT DISTINCT source FROM documents)) GROUP BY ALL")
 def content_manifests(t):
-    a, b = scratch(t.spark, "content"), scratch(t.spark, "content")
-    d = t.documents.select(F.lit("blob").alias("kind"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("hash"))
-    nodes = t.documents.select(F.lit("node").alias("kind"), F.col("doc_id").alias("ord"), F.sha2("source", 256).alias("hash"))
-    layouts.write_content_manifest(d.unionByName(nodes), a)
-    layouts.write_content_manifest(t.pages.select(F.lit("blob").alias("kind"), F.col("page_id").alias("ord"), F.sha2("html", 256).alias("hash")), b)
-    return layouts.read_content_manifest(t.spark, a, b, kind="blob").groupBy("hash").agg(F.count("*").alias("n"))
+    return formats.read_content_manifests(_manifest_files(t)).groupBy("kind", "hash").agg(F.count("*").alias("n"))
 
 
-@query("""
-    SELECT conv_id AS stream, turn AS ord, turn * 1000 AS "offset", sha256(text) AS digest, length(text) AS size FROM conversations""")
-def reference_tables(t):
-    c = t.conversations.select("conv_id", "turn", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("size"))
-    g = c.groupBy(F.col("conv_id").alias("stream")).agg(F.array_sort(F.collect_list(F.struct("turn", "digest", "size"))).alias("r"))
+def _manifest_files(t):
+    """A content manifest for each source, written to files and read back."""
+    path = scratch(t.spark, "manifests")
+    row = lambda kind, c: t.documents.select(F.col("source").alias("manifest"), F.lit(kind).alias("kind"), F.col("doc_id").alias("ord"), F.sha2(c, 256).alias("hash"))
+    trees = t.documents.select("source").distinct().select(F.col("source").alias("manifest"), F.lit("tree").alias("kind"), F.lit(0).cast("long").alias("ord"), F.sha2("source", 256).alias("hash"))
+    made = formats.content_manifests(row("blob", "text").unionByName(row("node", "lang")).unionByName(trees))
+    formats.write_files(made.select(F.concat("manifest", F.lit(".manifest")).alias("path"), "content"), path)
+    return formats.read_files(t.spark, path).select(F.regexp_replace("path", r"\.manifest$", "").alias("manifest"), "content")
 
-    def pack(parts):
-        import pandas as pd
 
-        for p in parts:
-            yield pd.DataFrame({"stream": p["stream"], "content": [layouts.encode_refs([(x["turn"] * 1000, x["digest"], x["size"]) for x in r], 0) for r in p["r"]]})
+def _streams(t):
+    """A compact stream for each conversation: its turns are references, its id the inline bytes."""
+    c = t.conversations.select("conv_id", (F.col("turn") * 1000).cast("long").alias("offset"), F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("size"))
+    g = c.groupBy(F.col("conv_id").alias("stream")).agg(F.array_sort(F.collect_list(F.struct("offset", "digest", "size"))).alias("refs"))
+    return formats.compact_streams(g.withColumn("inline", F.encode(F.col("stream").cast("string"), "UTF-8")))
+
+
+@query("""
+    SELECT conv_id AS stream, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(text), length(text)) - 1 AS ord, turn * 1000 AS "offset", sha256(text) AS digest, length(text) AS size FROM conversations""")
+def reference_tables(t):
+    return formats.read_references(_streams(t))
 
-    return layouts.read_refs(g.mapInPandas(pack, "stream long, content binary"))
 
+@query("""
+    SELECT conv_id AS stream, count(*) AS refs, CAST(sum(length(text)) AS BIGINT) AS referenced, length(CAST(conv_id AS VARCHAR)) AS inline, CAST(sum(length(text)) + length(CAST(conv_id AS VARCHAR)) AS BIGINT) AS reconstructed FROM conversations GROUP BY conv_id""")
+def compact_stream_sizes(t):
+    return formats.inspect_streams(_streams(t))
 
 
 def _deploy(t):

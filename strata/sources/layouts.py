@@ -1,9 +1,8 @@
-"""JSON documents and content-addressed folders: deploy manifests, layer metadata, image layouts, specs, content manifests, compact streams."""
+"""JSON documents: deploy manifests, layer metadata, specs."""
 
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,66 +79,6 @@ def lower_keys(documents: DataFrame, column: str = "value") -> DataFrame:
     return documents.mapInPandas(run, schema)
 
 
-def write_cas(blobs: DataFrame, path: str) -> None:
-    """Distinct blobs(digest, content) in a folder for each two first digits of the digest."""
-    blobs.dropDuplicates(["digest"]).withColumn("prefix", F.substring("digest", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
-
-
-def read_cas(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest string, content string, prefix string").parquet(path).drop("prefix")
-
-
-def write_content_manifest(hashes: DataFrame, path: str) -> None:
-    """hashes(kind, ord, hash) in a folder for each kind of section."""
-    hashes.write.mode("append").partitionBy("kind").parquet(path)
-
-
-def read_content_manifest(spark: SparkSession, *paths: str, kind: str | None = None) -> DataFrame:
-    """The hashes of several manifests one after the other, repeats kept; with a kind only its folders are read."""
-    from ..operators.sets import union_all
-
-    one = lambda p: spark.read.schema("ord long, hash string, kind string").parquet(p)
-    out = union_all(*map(one, paths))
-    return out if kind is None else out.where(F.col("kind") == kind)
-
-
-HEADER, REF = ">4sIQQ", ">Q32sQ"
-MAGIC = b"CSTR"
-
-
-def encode_refs(refs: list[tuple[int, str, int]], inline: int) -> bytes:
-    """A reference table: header with magic, count, inline bytes and their total, then offset, digest and size of each."""
-    return struct.pack(HEADER, MAGIC, len(refs), inline, sum(r[2] for r in refs)) + b"".join(struct.pack(REF, o, bytes.fromhex(d), s) for o, d, s in refs)
-
-
-def read_refs(streams: DataFrame) -> DataFrame:
-    """(stream, ord, offset, digest, size) of streams(stream, content); another magic or a short table ends the job."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for name, raw in zip(p["stream"], p["content"]):
-                magic, n, _, _ = struct.unpack_from(HEADER, raw)
-                head, each = struct.calcsize(HEADER), struct.calcsize(REF)
-                if magic != MAGIC or len(raw) < head + n * each:
-                    raise ValueError(f"stream {name} is no reference table")
-                rows += [(name, i, o, d.hex(), s) for i, (o, d, s) in enumerate(struct.iter_unpack(REF, raw[head : head + n * each]))]
-            yield pd.DataFrame(rows, columns=["stream", "ord", "offset", "digest", "size"])
-
-    return streams.mapInPandas(run, "stream long, ord long, offset long, digest string, size long")
-
-
-def write_layout(images: DataFrame, path: str) -> None:
-    """An image layout of images(ref, digest, body): blobs by digest, and index.json lines."""
-    images.select("digest", F.col("body").alias("content")).dropDuplicates(["digest"]).withColumn("prefix", F.substring("digest", 1, 2)).write.mode("append").partitionBy("prefix").parquet(f"{path}/blobs")
-    images.select(F.to_json(F.struct(F.col("digest"), F.octet_length("body").alias("size"), F.col("ref"))).alias("value")).write.mode("append").text(f"{path}/index")
-
-
-def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, digest, size, body) of a layout: the index's rows with their blobs."""
-    index = spark.read.text(f"{path}/index").select(F.from_json("value", "digest string, size long, ref string").alias("i")).select("i.*")
-    return index.join(read_cas(spark, f"{path}/blobs").withColumnRenamed("content", "body"), "digest").select("ref", "digest", "size", "body")
-
-
 def read_spec(spark: SparkSession, path: str) -> dict:
     """A structure test or policy file in JSON, or in YAML where a YAML reader is installed: small, read on the driver."""
     raw = spark.read.format("binaryFile").load(path).select("content").first()[0].decode()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +12,33 @@ KEYWORDS = ("type", "size", "mode", "uid", "gid", "uname", "gname", "sha256", "t
 _ESCAPED = " \t\n\r\\#*?["
 
 
-def _unvis(c: Column) -> Column:
-    """Octal escapes back to characters."""
-    out = c
-    for x in _ESCAPED:
-        out = F.replace(out, F.lit(f"\\{ord(x):03o}"), F.lit(x))
-    return out
+# What a letter after a backslash stands for.
+_LETTERS = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "s": 32, "E": 27, "0": 0}
+
+
+def unvis(c: Column) -> Column:
+    """Escapes back to what they stand for: octal bytes, letters, control (\\^x) and meta (\\M-x, \\M^x) characters, nothing (\\$); bytes together are UTF-8."""
+    tokens = F.regexp_extract_all(c, F.lit(r"\\[0-3][0-7][0-7]|\\M-.|\\M\^.|\\\^.|\\.|[^\\]+|\\"), F.lit(0))
+    byte = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 2, "0"))
+    code = lambda t, at: F.ascii(F.substring(t, at, 1))
+    control = lambda x: F.when(x == ord("?"), F.lit(127)).otherwise(x.bitwiseAND(31))
+    letter = F.create_map(*[F.lit(x) for kv in _LETTERS.items() for x in kv])
+
+    def one(t):
+        rest = F.substring(t, 2, 9)
+        return (
+            F.when(~t.startswith("\\"), F.encode(t, "UTF-8"))
+            .when(t.rlike(r"^\\[0-3][0-7][0-7]$"), byte(F.conv(rest, 8, 10)))
+            .when(t.rlike(r"^\\M-"), byte(code(t, 4).bitwiseOR(128)))
+            .when(t.rlike(r"^\\M\^"), byte(control(code(t, 4)).bitwiseOR(128)))
+            .when(t.rlike(r"^\\\^."), byte(control(code(t, 3))))
+            .when(rest == "$", F.lit(b""))
+            .when(F.map_contains_key(letter, rest), byte(letter[rest]))
+            .otherwise(F.encode(F.when(rest == "", t).otherwise(rest), "UTF-8"))
+        )
+
+    joined = F.aggregate(tokens, F.lit(b""), lambda x, t: F.concat(x, one(t)))
+    return F.when(F.contains(c, F.lit("\\")), joined.cast("string")).otherwise(c)
 
 
 def vis(c: Column) -> Column:
@@ -27,13 +49,61 @@ def vis(c: Column) -> Column:
     return out
 
 
+def _keywords(words: Column) -> Column:
+    pair = lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.regexp_extract(w, "^[^=]*=?(.*)$", 1).alias("v"))
+    return F.map_from_entries(F.transform(words, pair))
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """(path, keywords) of spec lines: comments, blank lines, settings and the root don't count."""
-    t = lines.where((F.btrim("value") != "") & ~F.col("value").rlike("^(#|/set|/unset|\\.\\.)"))
+    """(path, keywords) of the lines of specs in which every line stands for itself, as render makes them: comments, blank lines and the root don't count.
+
+    Settings, '..' and names without a slash depend on the lines before them; these end the job, and parse_specs reads them.
+    """
+    t = lines.where((F.btrim("value") != "") & ~F.col("value").rlike("^\\s*#"))
     words = F.split(F.btrim("value"), r"\s+")
-    pair = lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.regexp_extract(w, "^[^=]*=?(.*)$", 1).alias("v"))
-    kw = F.map_from_entries(F.transform(F.slice(words, F.lit(2), F.size(words)), pair))
-    return t.select(*[c for c in lines.columns if c != "value"], entry_path(_unvis(F.element_at(words, 1))).alias("path"), kw.alias("keywords")).where("path <> '.'")
+    name = F.element_at(words, 1)
+    own = F.contains(name, F.lit("/")) & ~name.rlike("^/(un)?set$") | (name == ".")
+    name = F.when(own, name).otherwise(F.raise_error(F.concat(F.lit("depends on the lines before it: "), F.col("value"))))
+    return t.select(*[c for c in lines.columns if c != "value"], entry_path(unvis(name)).alias("path"), _keywords(F.slice(words, F.lit(2), F.size(words))).alias("keywords")).where("path <> '.'")
+
+
+def _entries(text: str):
+    """(full name, keywords) of a spec's entries, in order. A name without a slash is in the current folder, and a folder of such a name becomes it; '..' leaves it."""
+    lines, defaults, here, joined = text.split("\n"), {}, [], ""
+    for line in lines:
+        line = joined + line.rstrip("\r")
+        if line.endswith("\\") and not line.lstrip().startswith("#"):
+            joined = line[:-1] + " "
+            continue
+        joined, words = "", line.split()
+        if not words or words[0].startswith("#"):
+            continue
+        given = {k: v for k, _, v in (w.partition("=") for w in words[1:])}
+        if words[0] == "/set":
+            defaults |= given
+        elif words[0] == "/unset":
+            defaults = {} if "all" in given else {k: v for k, v in defaults.items() if k not in given}
+        elif words[0] == "..":
+            here = here[:-1]
+        else:
+            keywords, full = defaults | given, "/" in words[0]
+            yield words[0] if full else "/".join([*here, words[0]]), keywords
+            if not full and keywords.get("type") == "dir":
+                here = [*here, words[0]]
+
+
+def parse_specs(specs: DataFrame) -> DataFrame:
+    """(spec, ord, path, keywords) of specs(spec, content), each a whole spec: lines depend on those before them, so a spec is read by one task."""
+    kind = specs.schema["spec"].dataType
+
+    def run(batches):
+        for b in batches:
+            for spec, text in zip(b.column(0), b.column(1).to_pylist()):
+                rows = list(_entries(text or ""))
+                yield pa.record_batch([pa.array([spec.as_py()] * len(rows), b.column(0).type), pa.array(range(len(rows)), pa.int64()), pa.array([p for p, _ in rows], pa.string()), pa.array([list(k.items()) for _, k in rows], pa.map_(pa.string(), pa.string()))], names=["spec", "ord", "name", "keywords"])
+
+    rows = specs.select("spec", F.col("content").cast("string").alias("content")).mapInArrow(run, f"spec {kind.simpleString()}, ord long, name string, keywords map<string,string>")
+    return rows.select("spec", "ord", entry_path(unvis(F.col("name"))).alias("path"), "keywords").where("path <> '.'")
 
 
 def keep(keywords: Column, options: list[str]) -> Column:
