@@ -9,56 +9,56 @@ from ..operators import graph, images
 from .registry import query
 
 NOW, DAYS = "2001-06-01 00:00:00", 86_400
+REPOSITORY = "CAST((({}) + 100000) // 100 % 7 AS INTEGER)"  # of a digest, in SQL
 
-# orders are manifests of repositories (customers' nations); every tenth is an index of the nine after it, every seventh refers to the one before it
-# queries that end in _all read whole tables; the others, and their SQL, the first orders
+# orders are manifests of seven repositories, by hundreds; every tenth is an index of the nine after it, every seventh refers to the one before it
 
 
-def manifests(t, whole=False):
-    o = (t.orders if whole else t.orders.where("o_orderkey < 6000")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    k = F.col("o_orderkey")
+def repository(digest):
+    return (F.floor((digest + 100_000) / 100) % 7).cast("int")
+
+
+def manifests(t):
+    o, k = t.orders, F.col("o_orderkey")
     kind = F.when(k % 10 == 0, "index").otherwise("manifest")
-    return o.select((F.col("c_nationkey") % 1).alias("repo"), k.alias("digest"), kind.alias("kind"), F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("last_used"))
+    return o.select(repository(k).alias("repo"), k.alias("digest"), kind.alias("kind"), F.when(k % 11 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("last_used"))
 
 
-def edges(t, whole=False):
-    m = manifests(t, whole)
+def edges(t):
+    m = manifests(t)
     k = F.col("digest")
     child = m.where("kind = 'index'").select("repo", k.alias("src"), F.explode(F.sequence(k + 1, k + 9)).alias("dst"), F.lit("manifest").alias("kind"))
     back = m.where("digest % 7 = 0").select("repo", k.alias("src"), (k - 1).alias("dst"), F.lit("subject").alias("kind"))
     loop = m.where("digest % 500 = 0").select("repo", k.alias("src"), k.alias("dst"), F.lit("manifest").alias("kind"))
-    blob = (t.lineitem if whole else t.lineitem.where("l_orderkey < 6000")).where("l_orderkey % 10 <> 0").select(F.lit(0).alias("repo"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("blob").alias("kind"))
+    blob = t.lineitem.where("l_orderkey % 10 <> 0").select(repository(F.col("l_orderkey")).alias("repo"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("blob").alias("kind"))
     return child.unionByName(back).unionByName(loop).unionByName(blob.distinct())
 
 
-def tags(t, whole=False):
-    o = t.orders if whole else t.orders.where("o_orderkey >= 6000 and o_orderkey < 6400")
-    return o.select(F.lit(0).alias("repo"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("tag"), (F.col("o_orderkey") - 1000).alias("digest"), F.when(F.col("o_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("last_used"))
+def tags(t):
+    o = t.orders
+    return o.select(repository(F.col("o_orderkey") - 1000).alias("repo"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("tag"), (F.col("o_orderkey") - 1000).alias("digest"), F.when(F.col("o_orderkey") % 13 == 0, F.lit(None)).otherwise(F.col("o_orderdate")).alias("last_used"))
 
 
-_M_ALL = "SELECT 0 AS repo, o_orderkey AS digest, CASE WHEN o_orderkey % 10 = 0 THEN 'index' ELSE 'manifest' END AS kind, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS last_used FROM orders"
-_T_ALL = "SELECT 0 AS repo, 't' || o_orderkey AS tag, o_orderkey - 1000 AS digest, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS last_used FROM orders"
-_B_ALL = "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey % 10 <> 0"
-_M = f"{_M_ALL} WHERE o_orderkey < 6000"
-_T = f"{_T_ALL} WHERE o_orderkey >= 6000 AND o_orderkey < 6400"
-_B = _B_ALL.replace("WHERE ", "WHERE l_orderkey < 6000 AND ")
+_M = f"SELECT {REPOSITORY.format('o_orderkey')} AS repo, o_orderkey AS digest, CASE WHEN o_orderkey % 10 = 0 THEN 'index' ELSE 'manifest' END AS kind, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS last_used FROM orders"
+_T = f"SELECT {REPOSITORY.format('o_orderkey - 1000')} AS repo, 't' || o_orderkey AS tag, o_orderkey - 1000 AS digest, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS last_used FROM orders"
+_B = "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey % 10 <> 0"
 _FRESH = f"(last_used IS NULL OR TIMESTAMP '{NOW}' - last_used < INTERVAL 60 DAY)"
 
 
 def _live_sql(m, t, b):
     return f"""
     RECURSIVE m AS ({m}), t AS ({t}), b AS ({b}),
-    e AS (SELECT digest AS src, unnest(range(digest + 1, digest + 10)) AS dst FROM m WHERE kind = 'index' UNION ALL SELECT digest - 1, digest FROM m WHERE digest % 7 = 0 UNION ALL SELECT digest, digest FROM m WHERE digest % 500 = 0),
-    live AS (SELECT digest FROM m WHERE {_FRESH} UNION SELECT t.digest FROM t JOIN m USING (digest) WHERE t.last_used IS NULL OR TIMESTAMP '{NOW}' - t.last_used < INTERVAL 30 DAY
-             UNION SELECT e.dst FROM live JOIN e ON e.src = live.digest JOIN m ON m.digest = e.dst),
+    e AS (SELECT repo, digest AS src, unnest(range(digest + 1, digest + 10)) AS dst FROM m WHERE kind = 'index' UNION ALL SELECT repo, digest - 1, digest FROM m WHERE digest % 7 = 0 UNION ALL SELECT repo, digest, digest FROM m WHERE digest % 500 = 0),
+    live AS (SELECT repo, digest FROM m WHERE {_FRESH} UNION SELECT t.repo, t.digest FROM t JOIN m USING (repo, digest) WHERE t.last_used IS NULL OR TIMESTAMP '{NOW}' - t.last_used < INTERVAL 30 DAY
+             UNION SELECT e.repo, e.dst FROM live JOIN e ON e.src = live.digest AND e.repo = live.repo JOIN m ON m.digest = e.dst AND m.repo = e.repo),
     parts AS (SELECT p_partkey AS digest, p_size FROM part), live_blobs AS (SELECT dst AS digest FROM b WHERE src IN (SELECT digest FROM live) UNION SELECT digest FROM parts WHERE p_size = 1)"""
 
 
-_LIVE, _LIVE_ALL = _live_sql(_M, _T, _B), _live_sql(_M_ALL, _T_ALL, _B_ALL)
+_LIVE = _live_sql(_M, _T, _B)
 
 
-def _live(t, whole=False):
-    return graph.mark(manifests(t, whole), tags(t, whole), edges(t, whole), NOW, 60 * DAYS, 30 * DAYS)
+def _live(t):
+    return graph.mark(manifests(t), tags(t), edges(t), NOW, 60 * DAYS, 30 * DAYS)
 
 
 def _blobs(t):
@@ -66,8 +66,8 @@ def _blobs(t):
     return t.part.select(F.col("p_partkey").alias("digest"), F.when(F.col("p_size") == 1, F.lit(NOW).cast("timestamp_ntz")).otherwise(old).alias("last_used"))
 
 
-def _live_blobs(t, whole=False):
-    return graph.live_blobs(_live(t, whole), edges(t, whole), _blobs(t), NOW, 60 * DAYS)
+def _live_blobs(t):
+    return graph.live_blobs(_live(t), edges(t), _blobs(t), NOW, 60 * DAYS)
 
 
 def _sweep_sql(live):
@@ -79,44 +79,29 @@ def _sweep_sql(live):
     SELECT what, count(*) AS removed, min(name) AS first FROM gone GROUP BY what"""
 
 
-def _sweep(t, whole=False):
-    live = _live(t, whole)
-    digests = graph.live_blobs(live, edges(t, whole), _blobs(t), NOW, 60 * DAYS)
-    s = graph.sweep(manifests(t, whole), tags(t, whole), _blobs(t), live, digests, NOW, 30 * DAYS)
+def _sweep(t):
+    live = _live(t)
+    digests = graph.live_blobs(live, edges(t), _blobs(t), NOW, 60 * DAYS)
+    s = graph.sweep(manifests(t), tags(t), _blobs(t), live, digests, NOW, 30 * DAYS)
     named = [s[k].select(F.lit(w).alias("what"), F.col(c).cast("string").alias("name")) for k, w, c in (("manifests", "manifest", "digest"), ("tags", "tag", "tag"), ("blobs", "blob", "digest"))]
     return named[0].unionByName(named[1]).unionByName(named[2]).groupBy("what").agg(F.count("*").alias("removed"), F.min("name").alias("first"))
 
 
-@query(f"WITH {_LIVE} SELECT 0 AS repo, digest FROM live")
+@query(f"WITH {_LIVE} SELECT repo, digest FROM live")
 def gc_mark(t):
     return _live(t)
 
 
-@query(f"WITH {_LIVE_ALL} SELECT 0 AS repo, digest FROM live")
-def gc_mark_all(t):
-    return _live(t, whole=True)
-
-
 @query(f"WITH {_LIVE} SELECT DISTINCT digest FROM live_blobs")
 def gc_live_blobs(t):
     return _live_blobs(t)
 
 
-@query(f"WITH {_LIVE_ALL} SELECT DISTINCT digest FROM live_blobs")
-def gc_live_blobs_all(t):
-    return _live_blobs(t, whole=True)
-
-
 @query(_sweep_sql(_LIVE))
 def gc_sweep(t):
     return _sweep(t)
 
 
-@query(_sweep_sql(_LIVE_ALL))
-def gc_sweep_all(t):
-    return _sweep(t, whole=True)
-
-
 @query(f"""
     WITH r AS (SELECT p_partkey AS k, p_size FROM part)
     SELECT k AS src, 'child' || k AS dst, 'manifest' AS kind, CAST(p_size AS BIGINT) AS size FROM r WHERE k % 3 = 0 UNION ALL SELECT k, 'other' || k, 'blob', CAST(7 AS BIGINT) FROM r WHERE k % 3 = 0
@@ -131,11 +116,11 @@ def manifest_references(t):
     return graph.references(m).drop("repo")
 
 
-# ---- pulled images: orders below 3000; multiples of 10 are indexes of the next 3, others manifests -------------
+# ---- pulled images: orders; multiples of 10 are indexes of the next 3, others manifests -------------
 
 
-def entries(t, whole=False):
-    o, li = (t.orders, t.lineitem) if whole else (t.orders.where("o_orderkey < 3000"), t.lineitem.where("l_orderkey < 3000"))
+def entries(t):
+    o, li = t.orders, t.lineitem
     k = F.col("o_orderkey")
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     layers = li.groupBy(F.col("l_orderkey").alias("lk")).agg(F.array_sort(F.collect_set(F.concat(F.lit("l"), F.col("l_suppkey").cast("string")))).alias("layers"))
@@ -146,27 +131,27 @@ def entries(t, whole=False):
     return e.select(name("m", k).alias("digest"), F.when(index, "index").otherwise("manifest").alias("kind"), F.when(~index, name("c", k % 100)).alias("config"), F.when(index, none).otherwise(F.coalesce("layers", none)).alias("layers"), F.when(index, kids).otherwise(none).alias("manifests"), k.alias("k"))
 
 
-def tops(t, whole=False):
+def tops(t):
     k = F.col("k")
-    return entries(t, whole).where("k % 10 in (0, 2, 5)").select("digest", k.alias("ord"), F.element_at(F.array(*map(F.lit, ("shallow", "lazy", "eager"))), (k % 3 + 1).cast("int")).alias("handling"))
+    return entries(t).where("k % 10 in (0, 2, 5)").select("digest", k.alias("ord"), F.element_at(F.array(*map(F.lit, ("shallow", "lazy", "eager"))), (k % 3 + 1).cast("int")).alias("handling"))
 
 
 
-def _images_sql(orders="", lines=""):
+def _images_sql():
     return f"""
-    e AS (SELECT o_orderkey AS k, 'm' || o_orderkey AS digest, o_orderkey % 10 = 0 AS idx FROM orders{orders}),
-    l AS (SELECT DISTINCT l_orderkey AS k, 'l' || l_suppkey AS layer FROM lineitem WHERE {lines}l_orderkey % 10 <> 0),
+    e AS (SELECT o_orderkey AS k, 'm' || o_orderkey AS digest, o_orderkey % 10 = 0 AS idx FROM orders),
+    l AS (SELECT DISTINCT l_orderkey AS k, 'l' || l_suppkey AS layer FROM lineitem WHERE l_orderkey % 10 <> 0),
     top AS (SELECT k, digest, idx, ['shallow', 'lazy', 'eager'][k % 3 + 1] AS handling FROM e WHERE k % 10 IN (0, 2, 5)),
     img AS (SELECT k AS root, k AS man, handling FROM top WHERE NOT idx UNION ALL SELECT k, unnest([k + 1, k + 2, k + 3]), handling FROM top WHERE idx),
     clo AS (SELECT 'm' || k AS root, 'm' || k AS blob, 'manifest' AS part, handling FROM top UNION ALL SELECT 'm' || root, 'm' || man, 'manifest', handling FROM img WHERE root <> man
             UNION ALL SELECT 'm' || root, 'c' || (man % 100), 'config', handling FROM img JOIN e ON e.k = man UNION ALL SELECT 'm' || root, layer, 'layer', handling FROM img JOIN l ON l.k = man)"""
 
 
-_E, _E_ALL = _images_sql(" WHERE o_orderkey < 3000", "l_orderkey < 3000 AND "), _images_sql()
+_E = _images_sql()
 
 
-def _image_closure(t, whole=False):
-    c = graph.closure(tops(t, whole).select(F.col("digest").alias("root")), entries(t, whole))
+def _image_closure(t):
+    c = graph.closure(tops(t).select(F.col("digest").alias("root")), entries(t))
     return c.groupBy("root", "blob", "part").agg(F.count("*").alias("n"))
 
 
@@ -175,13 +160,8 @@ def image_closure(t):
     return _image_closure(t)
 
 
-@query(f"WITH {_E_ALL} SELECT root, blob, part, count(*) AS n FROM clo GROUP BY ALL")
-def image_closure_all(t):
-    return _image_closure(t, whole=True)
-
-
-def _reverse_blob_index(t, whole=False):
-    return graph.images_of_blobs(tops(t, whole), entries(t, whole))
+def _reverse_blob_index(t):
+    return graph.images_of_blobs(tops(t), entries(t))
 
 
 @query(f"WITH {_E} SELECT blob, list_sort(list(root)) AS images FROM clo GROUP BY blob")
@@ -189,14 +169,9 @@ def reverse_blob_index(t):
     return _reverse_blob_index(t)
 
 
-@query(f"WITH {_E_ALL} SELECT blob, list_sort(list(root)) AS images FROM clo GROUP BY blob")
-def reverse_blob_index_all(t):
-    return _reverse_blob_index(t, whole=True)
-
-
-def _layer_handling(t, whole=False):
-    e = entries(t, whole)
-    return graph.layer_handling(e.where("kind = 'manifest'"), tops(t, whole), e)
+def _layer_handling(t):
+    e = entries(t)
+    return graph.layer_handling(e.where("kind = 'manifest'"), tops(t), e)
 
 
 @query(f"""
@@ -205,14 +180,8 @@ def layer_handling(t):
     return _layer_handling(t)
 
 
-@query(f"""
-    WITH {_E_ALL}, c AS (SELECT man AS k, root AS o, handling FROM img) SELECT 'm' || e.k AS digest, coalesce(arg_min(handling, o), 'shallow') AS handling FROM e LEFT JOIN c ON c.k = e.k WHERE NOT idx GROUP BY e.k""")
-def layer_handling_all(t):
-    return _layer_handling(t, whole=True)
-
-
-def _blobs_to_create(t, whole=False):
-    return graph.blobs_to_create(entries(t, whole), tops(t, whole))
+def _blobs_to_create(t):
+    return graph.blobs_to_create(entries(t), tops(t))
 
 
 @query(f"""
@@ -222,15 +191,8 @@ def blobs_to_create(t):
     return _blobs_to_create(t)
 
 
-@query(f"""
-    WITH {_E_ALL}, h AS (SELECT e.k, coalesce((SELECT arg_min(handling, root) FROM img WHERE man = e.k), 'shallow') AS handling FROM e WHERE NOT idx)
-    SELECT digest AS blob, 'manifest' AS kind FROM e UNION SELECT 'c' || (k % 100), 'file' FROM e WHERE NOT idx UNION SELECT layer, CASE WHEN handling = 'eager' THEN 'file' ELSE 'lazy_file' END FROM h JOIN l USING (k) WHERE handling <> 'shallow'""")
-def blobs_to_create_all(t):
-    return _blobs_to_create(t, whole=True)
-
-
-def _image_files(t, whole=False):
-    return graph.image_files(tops(t, whole), entries(t, whole))
+def _image_files(t):
+    return graph.image_files(tops(t), entries(t))
 
 
 @query(f"""
@@ -239,14 +201,8 @@ def image_files(t):
     return _image_files(t)
 
 
-@query(f"""
-    WITH {_E_ALL} SELECT DISTINCT root, blob, '@' || CASE WHEN part = 'layer' AND handling = 'lazy' THEN 'lazy_' ELSE 'blob_' END || blob || CASE WHEN part = 'manifest' THEN '//:manifest.json' ELSE '//:blob' END AS label FROM clo WHERE part <> 'layer' OR handling <> 'shallow'""")
-def image_files_all(t):
-    return _image_files(t, whole=True)
-
-
-def _reachable_facts(t, whole=False):
-    return graph.reachable_facts(tops(t, whole), entries(t, whole)).select("digest")
+def _reachable_facts(t):
+    return graph.reachable_facts(tops(t), entries(t)).select("digest")
 
 
 @query(f"WITH {_E} SELECT DISTINCT e.digest FROM e WHERE k IN (SELECT k FROM top) OR k IN (SELECT man FROM img JOIN top ON top.k = root WHERE idx)")
@@ -254,15 +210,10 @@ def reachable_facts(t):
     return _reachable_facts(t)
 
 
-@query(f"WITH {_E_ALL} SELECT DISTINCT e.digest FROM e WHERE k IN (SELECT k FROM top) OR k IN (SELECT man FROM img JOIN top ON top.k = root WHERE idx)")
-def reachable_facts_all(t):
-    return _reachable_facts(t, whole=True)
-
-
-def _facts_to_fetch(t, whole=False):
+def _facts_to_fetch(t):
     from ..operators.lookups import missing
 
-    e = entries(t, whole)
+    e = entries(t)
     return missing(e.select(F.concat(F.lit("m"), (F.col("k") + 1).cast("string")).alias("digest")), e, on=["digest"])
 
 
@@ -271,11 +222,6 @@ def facts_to_fetch(t):
     return _facts_to_fetch(t)
 
 
-@query(f"WITH {_E_ALL} SELECT 'm' || (k + 1) AS digest FROM e WHERE k + 1 NOT IN (SELECT k FROM e)")
-def facts_to_fetch_all(t):
-    return _facts_to_fetch(t, whole=True)
-
-
 @query("""
     SELECT l_partkey AS blob, l_suppkey AS repository, list_sort(list(DISTINCT n_name)) AS registries FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = (s_nationkey + l_linenumber) % 25 GROUP BY ALL""")
 def blob_sources(t):

@@ -50,39 +50,20 @@ def dedup_state(t):
     return dedup.export_state(files(t))
 
 
-@query(f"""
-    WITH f AS ({_FILES}), t AS (SELECT 'L' || layer || lang AS tree, min(ord) AS o, sha256(array_to_string(list_sort(list(CAST(size % 7 AS VARCHAR))), ',')) AS h FROM f WHERE size < 300 GROUP BY ALL)
-    SELECT tree, CASE WHEN o <> min(o) OVER (PARTITION BY h) THEN first_value(tree) OVER (PARTITION BY h ORDER BY o) END AS link FROM t""")
-def tree_dedup(t):
-    f = files(t).where("size < 300").withColumn("tree", F.concat(F.lit("L"), F.col("layer").cast("string"), "lang"))
-    trees = dedup.link_repeated_trees(f.withColumn("kind", (F.col("size") % 7).cast("string")).withColumn("none", F.lit(None).cast("string")), "tree", "none", "kind", "ord")
-    return trees.select("tree", "link")
-
-
 @query(f"""
     WITH f AS ({_FILES}), t AS (SELECT 'L' || layer || lang AS tree, min(ord) AS o, sha256(array_to_string(list_sort(list(CAST(size % 7 AS VARCHAR))), ',')) AS h FROM f GROUP BY ALL)
     SELECT tree, CASE WHEN o <> min(o) OVER (PARTITION BY h) THEN first_value(tree) OVER (PARTITION BY h ORDER BY o) END AS link FROM t""")
-def tree_dedup_all(t):
+def tree_dedup(t):
     f = files(t).withColumn("tree", F.concat(F.lit("L"), F.col("layer").cast("string"), "lang"))
     trees = dedup.link_repeated_trees(f.withColumn("kind", (F.col("size") % 7).cast("string")).withColumn("none", F.lit(None).cast("string")), "tree", "none", "kind", "ord")
     return trees.select("tree", "link")
 
 
-@query("""
-    WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'opt/' || p_brand AS path, 'src/' || l_orderkey || '.' || l_linenumber || '.' || l_suppkey || '.' || l_partkey AS source FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 1),
-         c AS (SELECT *, count(*) OVER (PARTITION BY path, l_suppkey) AS n FROM e)
-    SELECT l_suppkey, source, CASE WHEN n > 1 THEN path || '/' || substr(source, 5) ELSE path END AS path FROM c""")
-def repeated_paths(t):
-    e = t.lineitem.where("l_quantity = 1").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    e = e.select("l_suppkey", F.concat(F.col("l_suppkey").cast("string"), F.lit(":opt/"), "p_brand").alias("path"), F.concat(F.lit("src/"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).alias("source"))
-    return dedup.rewrite_repeated_paths(e).select("l_suppkey", "source", F.regexp_replace("path", "^[0-9]+:", "").alias("path"))
-
-
 @query("""
     WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'opt/' || p_brand AS path, 'src/' || l_orderkey || '.' || l_linenumber || '.' || l_suppkey || '.' || l_partkey AS source FROM lineitem JOIN part ON l_partkey = p_partkey),
          c AS (SELECT *, count(*) OVER (PARTITION BY path, l_suppkey) AS n FROM e)
     SELECT l_suppkey, source, CASE WHEN n > 1 THEN path || '/' || substr(source, 5) ELSE path END AS path FROM c""")
-def repeated_paths_all(t):
+def repeated_paths(t):
     e = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     e = e.select("l_suppkey", F.concat(F.col("l_suppkey").cast("string"), F.lit(":opt/"), "p_brand").alias("path"), F.concat(F.lit("src/"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).alias("source"))
     return dedup.rewrite_repeated_paths(e).select("l_suppkey", "source", F.regexp_replace("path", "^[0-9]+:", "").alias("path"))

@@ -74,20 +74,20 @@ def _tags(t):
 _TAGS = "SELECT o_custkey AS repo, 'v' || (o_orderkey % 40) AS tag, o_orderkey % 200 AS digest, o_orderkey AS ord FROM orders"
 
 
-@query(f"SELECT repo, digest, list_sort(list(DISTINCT tag)) AS tags FROM ({_TAGS}) WHERE digest < 50 GROUP BY repo, digest")
+@query(f"SELECT repo, digest, list_sort(list(DISTINCT tag)) AS tags FROM ({_TAGS}) GROUP BY repo, digest")
 def tags_of_digest(t):
     tags = _tags(t)
-    return lookups.tags_of(tags, tags.where("digest < 50").select("repo", "digest").distinct())
+    return lookups.tags_of(tags, tags.select("repo", "digest").distinct())
 
 
 @query(f"""
     WITH t AS (SELECT repo, tag, arg_max(digest, ord) AS digest FROM ({_TAGS}) GROUP BY ALL)
-    SELECT repo, tag AS target, digest FROM t UNION ALL SELECT repo, '7', 7 FROM (SELECT DISTINCT repo FROM t WHERE digest = 7) UNION ALL SELECT DISTINCT repo, 'none', CAST(NULL AS BIGINT) FROM t""")
+    SELECT repo, tag AS target, digest FROM t UNION ALL SELECT DISTINCT repo, CAST(digest AS VARCHAR), digest FROM t UNION ALL SELECT DISTINCT repo, 'none', CAST(NULL AS BIGINT) FROM t""")
 def resolve_tags(t):
     from ..operators.dedup import last_by
 
     tags = last_by(_tags(t), ["repo", "tag"], "ord").select("repo", "tag", F.col("digest").cast("string").alias("digest"))
-    manifests = tags.where("digest = '7'").select("repo", "digest").distinct()
+    manifests = tags.select("repo", "digest").distinct()
     targets = tags.select("repo", F.col("tag").alias("target")).unionByName(manifests.select("repo", F.col("digest").alias("target"))).unionByName(tags.select("repo").distinct().withColumn("target", F.lit("none")))
     return lookups.resolve(targets, tags, manifests).withColumn("digest", F.col("digest").cast("long"))
 
@@ -100,13 +100,8 @@ def enriched_blobs(t):
     return lookups.enrich_blobs(o.select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo"), "digest", F.col("digest").alias("size")), tracked)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey * 3 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey < 2000)")
-def unused_overrides(t):
-    return lookups.unused(t.customer.select((F.col("c_custkey") * 3).alias("path"), "c_custkey"), t.orders.where("o_orderkey < 2000").select(F.col("o_orderkey").alias("path")), "path").select("c_custkey")
-
-
 @query("SELECT c_custkey FROM customer WHERE c_custkey * 3 NOT IN (SELECT o_orderkey FROM orders)")
-def unused_overrides_all(t):
+def unused_overrides(t):
     return lookups.unused(t.customer.select((F.col("c_custkey") * 3).alias("path"), "c_custkey"), t.orders.select(F.col("o_orderkey").alias("path")), "path").select("c_custkey")
 
 
@@ -118,16 +113,9 @@ def metadata_overrides(t):
     return lookups.apply_overrides(e, o, "doc_id", {"uname": "root", "mode": 420})
 
 
-@query("""
-    SELECT DISTINCT l_partkey AS layer, l_suppkey AS diff_id FROM lineitem WHERE l_orderkey < 3000""")
-def layer_diff_ids(t):
-    m = t.lineitem.where("l_orderkey < 3000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
-    return lookups.diff_ids(m.select(F.transform("x", lambda s: s["l_partkey"]).alias("layers"), F.transform("x", lambda s: s["l_suppkey"]).alias("diff_ids")))
-
-
 @query("""
     SELECT DISTINCT l_partkey AS layer, l_suppkey AS diff_id FROM lineitem""")
-def layer_diff_ids_all(t):
+def layer_diff_ids(t):
     m = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
     return lookups.diff_ids(m.select(F.transform("x", lambda s: s["l_partkey"]).alias("layers"), F.transform("x", lambda s: s["l_suppkey"]).alias("diff_ids")))
 
