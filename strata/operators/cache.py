@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DIGEST
+from .dedup import running_offsets
 
 MAX_SNAPSHOT = 65_536
 
@@ -89,8 +90,11 @@ def due_blobs(blobs: DataFrame, kept: DataFrame, now: Column, age: int, batch: i
     """(algorithm, digest, size, batch_no): live blobs(digest, algorithm, size, last_used) of known size, neither used nor refreshed for age seconds, in batches of one algorithm."""
     j = blobs.where("size > 0").join(kept.select("digest", "kept_at"), "digest", "left")
     due = j.where(F.greatest("last_used", F.coalesce("kept_at", "last_used")) <= now - age)
-    n = F.row_number().over(Window.partitionBy("algorithm").orderBy("digest")) - 1
-    return due.select("algorithm", "digest", "size", F.floor(n / batch).cast("int").alias("batch_no"))
+    # there are few algorithms: the place among all rows, by ranges of algorithm and digest, less that of the algorithm's first row
+    placed = running_offsets(due.select("algorithm", "digest", "size"), ["algorithm", "digest"], F.lit(1))
+    first = placed.groupBy(F.col("algorithm").alias("_a")).agg(F.min("offset").alias("_first"))
+    n = F.col("offset") - F.col("_first")
+    return placed.join(F.broadcast(first), F.col("algorithm").eqNullSafe(F.col("_a"))).select("algorithm", "digest", "size", F.floor(n / batch).cast("int").alias("batch_no"))
 
 
 def rank_donors(peers: DataFrame) -> DataFrame:

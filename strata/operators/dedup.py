@@ -1,27 +1,23 @@
 """Content deduplication inside a layer, and what it needs: node keys, ordered distinct values, offsets and Merkle hashes.
 
-Order is data: every input has an ord column. Windows are partitioned by digest or path; a digest that many entries
-share would land in one task, so the first entry of a digest comes from an aggregate, which adds up in map tasks first, and a join.
+Order is data: every input has an ord column. A digest that many entries share would land in one task, so the first entry of a digest comes from an
+aggregate, which adds up in map tasks first, and a join that deals frequent digests over many tasks.
 """
 
 from __future__ import annotations
 
-import hashlib
-import struct
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.paths import ancestors, base_name
 from ..session import reliable_checkpoint
+from .skew import join_spread
 
 
 def first_by(df: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:
-    """keys and first_<value> of the row with the smallest order."""
+    """keys, first_<value> of the row with the smallest order, and rows_of_key."""
     first = F.min(F.struct(order, *[v for v in values if v != order])).alias("f")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"f.{v}").alias(f"first_{v}") for v in values])
+    return df.groupBy(*keys).agg(first, F.count("*").alias("rows_of_key")).select(*keys, *[F.col(f"f.{v}").alias(f"first_{v}") for v in values], "rows_of_key")
 
 
 def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -33,8 +29,8 @@ def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def link_repeats(entries: DataFrame, keys: list[str], order: str = "ord", path: str = "path") -> DataFrame:
     """entries with link: the path of the first entry with the same keys, null for that entry itself."""
-    first = first_by(entries, keys, order, order, path)
-    joined = entries.join(first.select(*[F.col(k).alias(f"_{k}") for k in keys], f"first_{order}", f"first_{path}"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    first = reliable_checkpoint(first_by(entries, keys, order, order, path).select(*[F.col(k).alias(f"_{k}") for k in keys], f"first_{order}", f"first_{path}", "rows_of_key").where("rows_of_key > 1"))
+    joined = join_spread(entries, first, keys, [f"_{k}" for k in keys], "rows_of_key", [order], "left")
     return joined.select(*entries.columns, F.when(F.col(order) != F.col(f"first_{order}"), F.col(f"first_{path}")).alias("link"))
 
 
@@ -65,23 +61,19 @@ def normalize_header(entries: DataFrame) -> DataFrame:
         "devmajor": F.when(device, F.col("devmajor")).otherwise(0), "devminor": F.when(device, F.col("devminor")).otherwise(0)})
 
 
-@F.pandas_udf(T.StringType())
-def header_hash(kind: pd.Series, path: pd.Series, link: pd.Series, size: pd.Series, mode: pd.Series, uid: pd.Series, gid: pd.Series, uname: pd.Series, gname: pd.Series, mtime: pd.Series) -> pd.Series:
+def header_hash(kind, path, link, size, mode, uid, gid, uname, gname, mtime) -> Column:
     """SHA-256 over length-prefixed big-endian header fields."""
-    text = lambda s: struct.pack(">Q", len(s)) + s
-    number = lambda n: struct.pack(">q", int(n))
-
-    def one(k, p, ln, sz, m, u, g, un, gn, t):
-        return hashlib.sha256(k.encode() + text(p.encode()) + text(ln.encode()) + b"".join(map(number, (sz, m, u, g))) + text(un.encode()) + text(gn.encode()) + number(t)).hexdigest()
-
-    return pd.Series([one(*row) for row in zip(kind, path, link, size, mode, uid, gid, uname, gname, mtime)])
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    number = lambda n: F.unhex(F.lpad(F.hex(c(n).cast("long")), 16, "0"))
+    text = lambda s: F.concat(number(F.octet_length(F.encode(c(s), "UTF-8"))), F.encode(c(s), "UTF-8"))
+    return F.sha2(F.concat(F.encode(c(kind), "UTF-8"), text(path), text(link), *map(number, (size, mode, uid, gid)), text(uname), text(gname), number(mtime)), 256)
 
 
 def rewrite_repeated_paths(entries: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
     """A path that several entries ask for becomes a folder of theirs, each under its source's base name. Done once: what collides then stays."""
-    counts = entries.groupBy(F.col(path).alias("_p")).agg(F.count("*").alias("_n"))
+    counts = reliable_checkpoint(entries.groupBy(F.col(path).alias("_p")).agg(F.count("*").alias("_n")).where("_n > 1"))
     new = F.when(F.col("_n") > 1, F.concat(F.col(path), F.lit("/"), base_name(F.col(source)))).otherwise(F.col(path))
-    return entries.join(counts, F.col(path).eqNullSafe(F.col("_p"))).withColumn(path, new).drop("_p", "_n")
+    return join_spread(entries, counts, [path], ["_p"], "_n", [source], "left").withColumn(path, new).drop("_p", "_n")
 
 
 def export_state(entries: DataFrame, digest: str = "digest", order: str = "ord") -> DataFrame:

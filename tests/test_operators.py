@@ -404,3 +404,27 @@ def test_rules_in_blocks(spark):
     for block in (3, 1000):
         assert {r["id"]: (r["rule"], r["allow"]) for r in policy.decide_joined(requests, rules, block=block).collect()} == want
     assert {r["rule"] for r in policy.decide_joined(requests, rules.limit(0)).collect()} == {-1}
+
+
+def test_hot_keys_are_spread(spark):
+    """A digest that a third of all entries share: the join deals its rows over many tasks, and results stay."""
+    from strata.operators.skew import join_spread
+
+    n = 3000
+    rows = [(i, f"p{i}", "hot" if i % 3 == 0 else None if i % 50 == 1 else f"d{i % 700}") for i in range(n)]
+    entries = spark.createDataFrame(rows, "ord long, path string, digest string").repartition(5)
+    first = {}
+    for i, p, d in rows:
+        first.setdefault(d, (i, p))
+    got = {r["ord"]: r["link"] for r in dedup.link_repeats(entries, ["digest"]).collect()}
+    assert got == {i: None if first[d][0] == i else first[d][1] for i, p, d in rows}
+    keyed = entries.groupBy(F.col("digest").alias("k")).agg(F.count("*").alias("n"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [r["c"] for r in join_spread(entries, keyed, ["digest"], ["k"], "n", ["ord"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("c")).collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == n and max(sizes) < 2.5 * n / int(spark.conf.get("spark.sql.shuffle.partitions"))
