@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_spread
 from .common import bound_batches, materialise, with_fields
 
 _BATCH = 20_000
@@ -80,14 +81,14 @@ def _apply(min_chars: int, text_at: int, gone_at: int, schema: pa.Schema):
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with _kept_text, n_lines, n_dropped and kept_sha256 in place of text.
 
-    What each document loses is settled on hashes; texts move once, to meet the keys to drop, and not at all where Spark finds those few enough to broadcast.
+    What each document loses is settled on hashes, those of lines in very many documents dealt over tasks; texts move once, to meet the keys to drop, and not at all where Spark finds those few enough to broadcast.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = bound_batches(docs).drop("_kept_text", "n_lines", "n_dropped", "kept_sha256", "_of", "_gone")
-    gone = materialise(shared_lines(docs, min_chars, min_docs), "lines").select("key", "keeper")
+    gone = materialise(shared_lines(docs, min_chars, min_docs), "lines")
     pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_emit(min_chars), "doc_id long, key binary")
-    per_doc = pairs.join(gone, "key").where(F.col("doc_id") != F.col("keeper")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias("_gone"))
+    per_doc = join_spread(pairs, gone.withColumnRenamed("key", "_line"), ["key"], ["_line"], "docs", ["doc_id"]).where(F.col("doc_id") != F.col("keeper")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias("_gone"))
     joined = docs.join(per_doc, F.col("doc_id") == F.col("_of"), "left").drop("_of")
     schema = with_fields(docs.drop("text"), "_kept_text string, n_lines long, n_dropped long, kept_sha256 string")
     at = joined.columns

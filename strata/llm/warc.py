@@ -1,6 +1,6 @@
 """A content-addressed WARC archive.
 
-Two tables make an archive: ``payloads`` holds every distinct payload once under its SHA-256, ``headers`` holds
+Two tables make an archive: ``payloads`` holds every distinct payload once under its SHA-256, and how many records have it, ``headers`` holds
 the exact header bytes of every record and the key of its payload. Records come back through a join on the key;
 reading verifies each payload against its key and against the SHA-1 that the record's header names.
 
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from ..operators.skew import join_spread
+from .common import materialise, scratch
 
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -33,14 +34,14 @@ def _key(payload: Column) -> Column:
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> str:
     """Writes the archive of pages at path. Of records with equal payloads of min_bytes or more, the one with the smallest id is the response and the others revisit it.
 
-    Payload bytes cross one shuffle, after each map task has dropped its own repeats; types are settled on ids and digests alone, so a payload that a third of all rows share costs one copy a task.
+    Payload bytes cross one shuffle, after each map task has dropped its own repeats; types are settled on ids and digests alone, so a payload that a third of all rows share costs one copy a task, and the rows that share it are dealt over tasks.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows.select(_key(F.col("payload")).alias("key"), "payload").groupBy("key").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    rows.select(_key(F.col("payload")).alias("key"), "payload").groupBy("key").agg(F.first("payload").alias("payload"), F.count("*").alias("records")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     narrow = rows.select("id", "url", _key(F.col("payload")).alias("key"), F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
-    first = narrow.groupBy("key").agg(F.min("id").alias("first_id")).withColumnRenamed("key", "k")
-    typed = narrow.join(first, F.col("key") == F.col("k")).withColumn("revisit", (F.col("n") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")))
+    first = materialise(narrow.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first_id"), F.count("*").alias("records")), "first")
+    typed = join_spread(narrow, first, ["key"], ["k"], "records", ["id", "url"]).withColumn("revisit", (F.col("n") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda name, v: F.concat(F.lit(f"{name}: "), v, F.lit("\r\n"))
@@ -76,13 +77,13 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
 
 def _payloads(spark: SparkSession, path: str) -> DataFrame:
     """Payloads with what is needed to check them; a payload that doesn't match its key ends the job."""
-    return spark.read.schema("key binary, payload binary").parquet(f"{path}/payloads").select(
-        "key", "payload", F.when(_key(F.col("payload")) == F.col("key"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("long")).alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
+    return spark.read.schema("key binary, payload binary, records long").parquet(f"{path}/payloads").select(
+        "key", "payload", "records", F.when(_key(F.col("payload")) == F.col("key"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("long")).alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
 
 
 def _joined(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    stored = _payloads(spark, path).select("key", "payload_bytes", "sha1", *columns)
-    return _headers(spark, path).join(stored, F.col("payload_key") == F.col("key"), "left").withColumn(
+    stored = _payloads(spark, path).select("key", "records", "payload_bytes", "sha1", *columns)
+    return join_spread(_headers(spark, path), stored, ["payload_key"], ["key"], "records", ["header"], "left").withColumn(
         "payload_bytes", F.when(F.col("sha1").eqNullSafe(F.col("payload_digest")), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record's payload is missing or differs from its header")).cast("long")))
 
 
