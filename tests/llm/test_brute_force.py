@@ -107,6 +107,17 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in got} == {x: s.find(x) for x in s.up}
 
 
+def test_components_with_hubs(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(3), 10 + i) for i in range(12_000)] + [(20_000 + i, 20_001 + i) for i in range(20)]
+    rng.shuffle(edges)
+    e = spark.createDataFrame([(max(x), min(x)) for x in edges], "src long, dst long").repartition(4)
+    hubs = components._hubs(e, len(edges))
+    assert sorted(hubs) == [0, 1, 2]
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(components._large_star(e, hubs)) == rows(components._large_star(e))
+
+
 # ---- search ----------------------------------------------------------------------------------------------------
 
 
