@@ -51,7 +51,7 @@ def windows(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for n, bits in enumerate(BITS, 1):
         child = np.zeros(len(seq), U)
-        child[: len(seq) - n] = np.maximum(seq[n:] >> U(64 - bits), U(1))
+        child[: max(0, len(seq) - n)] = np.maximum(seq[n:] >> U(64 - bits), U(1))
         live = live if n == 1 else live & np.concatenate((seq[n - 1 :] != U(END), np.zeros(n - 1, bool)))
         child[~live] = 0
         out.append(child)
@@ -95,6 +95,11 @@ def _wide(x: np.ndarray, bits: int) -> np.ndarray:
     return out.view(U).ravel()
 
 
+def _least_type(x: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def pack(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
     """A run of sorted windows: what is new in each, and the counts of those that occur more than once."""
     s = starts_of(a, b, c)
@@ -102,7 +107,7 @@ def pack(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
     n = np.diff(np.append(at, len(a)))
     many = np.flatnonzero(n > 1)
     third = c >> U(BITS[2])
-    return dump([np.array([len(at)]), a[s[0]], _narrow(b[s[1]], BITS[0]), _narrow(third[s[2]], BITS[1]), _narrow((c & U((1 << BITS[2]) - 1))[at], BITS[2]), *(np.packbits(x[at]) for x in s[:3]), many, n[many].astype(np.int64)])
+    return dump([np.array([len(at)]), a[s[0]], _narrow(b[s[1]], BITS[0]), _narrow(third[s[2]], BITS[1]), _narrow((c & U((1 << BITS[2]) - 1))[at], BITS[2]), *(np.packbits(x[at]) for x in s[:3]), _least_type(many), _least_type(n[many])])
 
 
 def unpack(run: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,9 +211,9 @@ def kept_runs(rows: list[tuple[np.ndarray, ...]], segments: int, least: int) ->
     out = []
     for segment, i, j in _slices(_segment_of(words, segments)):  # words are in order, and so are their segments
         parts, lo, hi = [words[i:j], sums[i:j]], i, j
-        for child, count, up in levels:
+        for (child, count, up), bits in zip(levels, BITS):
             x, y = np.searchsorted(up, (lo, hi))
-            parts += [child[x:y], count[x:y], up[x:y] - lo]
+            parts += [_narrow(child[x:y], bits), _least_type(count[x:y]), _least_type(np.bincount(up[x:y] - lo, minlength=hi - lo))]
             lo, hi = x, y
         out.append((segment, dump(parts)))
     return out
@@ -224,12 +229,14 @@ def build_segment(rows: list[list[np.ndarray]], discount: float = 0.5) -> tuple[
     parts = Sequence.build(words, 2**64 - 1).parts() + Sequence.build(np.concatenate(([0], np.cumsum(total))), int(total.sum()) + 1).parts()
     above = total
     for level, bits in enumerate(BITS):
-        child, count, up = (np.concatenate([r[2 + 3 * level + k] if k < 2 else p[r[4 + 3 * level].astype(np.int64)] for r, p in zip(rows, spots)]) for k in range(3))
+        child = np.concatenate([_wide(r[2 + 3 * level], bits) for r in rows])
+        count = np.concatenate([r[3 + 3 * level].astype(np.int64) for r in rows])
+        up = np.concatenate([np.repeat(p, r[4 + 3 * level]) for r, p in zip(rows, spots)])
         key = (up.astype(U) << U(bits)) | child
         order = np.argsort(key, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        edges = np.cumsum([0, *(len(r[2 + 3 * level]) for r in rows)])
+        edges = np.cumsum([0, *(len(r[3 + 3 * level]) for r in rows)])
         spots = [rank[i:j] for i, j in zip(edges, edges[1:])]
         key, count, up = key[order], count[order], up[order]
         codes = quantise(np.log10((count - discount) / above[up]))
