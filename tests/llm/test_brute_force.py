@@ -594,6 +594,47 @@ def test_pipeline_near_copies(spark):
     assert got == {i for i in range(len(texts)) if s.find(i) == i}
 
 
+def test_near_copies_in_large_buckets(spark):
+    """Buckets of over 32 texts that hold many groups: no link between two groups is lost, however many texts share a bucket."""
+    from strata.llm import minhash
+
+    rng = random.Random(33)
+    base = ["b%d" % i for i in range(120)]
+    texts = []
+    for g in range(50):
+        own = ["g%d_%d" % (g, i) for i in range(rng.choice((8, 20, 30, 45)))]
+        for k in range(rng.choice((1, 2, 5))):
+            texts.append(" ".join(base + own + ["k%d_%d_%d" % (g, k, i) for i in range(rng.randrange(8))]))
+    texts += [" ".join(base)] * 40 + ["", "one", "one"]
+    rng.shuffle(texts)
+    sets = [minhash.shingles(t) for t in texts]
+    jaccard = lambda a, b: (lambda n: n >= 0.8 * (len(a) + len(b) - n))(len(np.intersect1d(a, b)))
+    s, near = Sets(), set()
+    for a in range(len(texts)):
+        s.find(a)
+        for b in range(a):
+            if jaccard(sets[a], sets[b]):
+                s.join(a, b)
+                near.add(tuple(sorted((minhash.key_of(sets[a]), minhash.key_of(sets[b])))))
+    assert 5 < len({s.find(i) for i in range(len(texts))}) < len(texts) / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs).collect()}
+    assert got == {i: s.find(i) for i in range(len(texts))}
+
+    signed = lambda k: k - 2**64 if k >= 2**63 else k
+    by_key = {minhash.key_of(x): x for x in sets if len(x)}
+    prints = spark.createDataFrame([(signed(k), signed(k), bytearray(minhash.buckets(x).tobytes())) for k, x in by_key.items()], "key long, root long, bands binary")
+    assert minhash._undecided(prints).count() > 32
+    table_of = spark.createDataFrame([(signed(k), bytearray(x.tobytes())) for k, x in by_key.items()], "key long, shingles binary")
+    for n in (1, 3, 1000):  # texts that have a root in common already needn't be paired
+        root = {k: k % n if n < 1000 else i for i, k in enumerate(by_key)}
+        roots = spark.createDataFrame([(signed(k), r) for k, r in root.items()], "key long, root long")
+        met = {(r["src"], r["dst"]) for r in minhash._joined(table_of, roots, 0.8).collect()}
+        want = {tuple(sorted((signed(a), signed(b)))) for a, b in near if a != b and root[a] != root[b]}
+        assert want <= met and (n == 1 or len(want) > 20)
+        assert all(a < b for a, b in met) and (n > 1 or not met)
+
+
 def test_repetitive_items_and_documents(spark):
     bench = spark.createDataFrame([(1, "again " * 60), (2, "one two three four five six seven eight " * 3)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "again " * 30_000), (2, "one two three four five six seven eight " * 4_000), (3, "one two three nine " * 4_000)], "doc_id long, text string")
