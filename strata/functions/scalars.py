@@ -42,13 +42,15 @@ def executable_by(mode, who) -> Column:
     return F.when(who == "owner", _bit(mode, 0o100)).when(who == "group", _bit(mode, 0o010)).when(who == "other", _bit(mode, 0o001)).when(who == "any", _bit(mode, 0o111)).otherwise(F.lit(False))
 
 
-def humanize_bytes(n) -> Column:
-    """'512 B', '1.5 KiB' and so on; ties round to the even digit."""
+def humanize_bytes(n, largest: str = "PiB") -> Column:
+    """'512 B', '1.5 KiB' and so on; ties round to the even digit. Sizes beyond the largest unit are shown in it."""
     n = _col(n).cast("long")
-    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1 << 10 * power)), 1))
-    out = shown(5, "PiB")
-    for power, unit in ((4, "TiB"), (3, "GiB"), (2, "MiB"), (1, "KiB")):
-        out = F.when(n < 1 << 10 * (power + 1), shown(power, unit)).otherwise(out)
+    units = ("KiB", "MiB", "GiB", "TiB", "PiB")
+    top = units.index(largest) + 1
+    shown = lambda power: F.format_string(f"%.1f {units[power - 1]}", F.bround(n / F.lit(float(1 << 10 * power)), 1))
+    out = shown(top)
+    for power in range(top - 1, 0, -1):
+        out = F.when(n < 1 << 10 * (power + 1), shown(power)).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
 
 
