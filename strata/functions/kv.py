@@ -80,16 +80,21 @@ def trim_suffix(value, suffix) -> Column:
     return F.when(v.endswith(s), F.substring(v, F.lit(1), F.char_length(v) - F.char_length(s))).otherwise(v)
 
 
+def _time(seconds: Column) -> Column:
+    """Years beyond 9999 are written without the sign that date_format puts before them."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("+"))
+
+
 def rfc3339(seconds) -> Column:
     """UTC time of Unix seconds (a number or its text), '' for blank or null; other text is an error."""
     t = F.btrim(_col(seconds).cast("string"))
-    return F.when(t.isNull() | (t == ""), "").otherwise(F.date_format(F.timestamp_seconds(t.cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.when(t.isNull() | (t == ""), "").otherwise(_time(t.cast("long")))
 
 
 def lenient_rfc3339(seconds) -> Column:
     """As rfc3339, with '' for text that is no number."""
     n = F.btrim(_col(seconds).cast("string")).try_cast("long")
-    return F.coalesce(F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    return F.coalesce(_time(n), F.lit(""))
 
 
 def override_or(value, override) -> Column:

@@ -8,6 +8,7 @@ from tests.test_queries import SF, plain
 
 SHIFTED = {
     "humanized_sizes": ("lineitem", "* REPLACE (l_partkey + k * 20000 AS l_partkey, l_suppkey + k * 1000 AS l_suppkey)"),
+    "rfc3339_times": ("events", "* REPLACE (event_id + k * 100000 AS event_id)"),
 }
 
 
