@@ -30,7 +30,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (word shingles of five words, Jaccard similarity 0.8 or more) the document with the smallest doc_id."""
+    """Of each group of near copies (op6's ball hashing and MinHash on word shingles of five words, verified: Jaccard similarity 0.8 or more) the document with the smallest doc_id."""
     docs = docs.select(COLUMNS)
     groups = common.materialise(minhash.near_copies(docs.select("doc_id", "text")), "groups")
     go = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()

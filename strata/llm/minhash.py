@@ -1,4 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, the shingles decide.
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands find candidates, the shingles decide.
+
+The links of ``simhash`` are candidates: fingerprints of the texts' shingles, repeats included, meet by ball hashing within ``radius`` bits. Most near copies
+differ in more bits than that, so texts that agree in a MinHash band are candidates as well. Both are verified on the shingles, and components of what holds are the groups.
 
 A text's shingles are the XXH64 values (seed 42) of its runs of ``words`` words. Its least values under 64 mixings of them form 16
 bands of 4; texts that agree in a band are compared. Two texts with similarity 0.8 agree in none of the bands with probability 0.0002, so that is what is missed;
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bound_batches, materialise
 from .components import components
 
@@ -34,8 +38,8 @@ _PLUS = _RANDOM.integers(0, 2**64, _BANDS * _ROWS, np.uint64)
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct shingles of a text, sorted."""
+def hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """The shingles of a text in their order."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and split know ASCII only
     if not w:
         return np.array([], np.uint64)
@@ -46,7 +50,12 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-words])).tolist()
     stops = (ends[words - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(hashes(text, words))
 
 
 def key_of(s: np.ndarray) -> int:
@@ -69,9 +78,15 @@ def buckets(s: np.ndarray) -> np.ndarray:
 def _prints(words: int):
     def run(batches):
         for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column(1)]
-            keys = np.array([key_of(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(keys), pa.array([buckets(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "key", "bands"])
+            keys, prints, bands = [], [], []
+            for t in b.column(1):
+                h = hashes(t.as_py(), words)
+                s = np.unique(h)
+                keys.append(key_of(s))
+                prints.append(simhash.majority(simhash.ones_of(h), len(h)))
+                bands.append(buckets(s).tobytes() if len(s) else None)
+            words64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.record_batch([b.column(0), words64(keys), words64(prints), pa.array(bands, pa.binary())], names=["doc_id", "key", "fp", "bands"])
 
     return run
 
@@ -115,21 +130,22 @@ def _pairs(batches):
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
 
-    band, bucket, key, long = np.array([], np.int8), np.array([], np.int64), np.array([], np.int64), False
+    held, long = [np.array([], t) for t in (np.int8, np.int64, np.int64)], False
     for b in batches:
-        band, bucket, key = (np.concatenate(x) for x in ((band, b.column(0).to_numpy()), (bucket, b.column(1).to_numpy()), (key, b.column(2).to_numpy())))
+        held = [np.concatenate((x, b.column(i).to_numpy())) for i, x in enumerate(held)]
+        band, bucket, key = held
         if not len(key):
             continue
         whole = np.flatnonzero((bucket != bucket[-1]) | (band != band[-1]))
         end = whole[-1] + 1 if len(whole) else 0
         if end:
-            yield found(band[:end], bucket[:end], key[:end], long)
-            band, bucket, key, long = band[end:], bucket[end:], key[end:], False
-        if len(key) > _LONG:
-            yield found(band, bucket, key, long)
-            band, bucket, key, long = band[-_NEXT:], bucket[-_NEXT:], key[-_NEXT:], True
-    if len(key):
-        yield found(band, bucket, key, long)
+            yield found(*(x[:end] for x in held), long)
+            held, long = [x[end:] for x in held], False
+        if len(held[0]) > _LONG:
+            yield found(*held, long)
+            held, long = [x[-_NEXT:] for x in held], True
+    if len(held[0]):
+        yield found(*held, long)
 
 
 def _slot_counts(batches):
@@ -192,15 +208,29 @@ def _in_bands(prints: DataFrame) -> DataFrame:
     return prints.where("bands is not null").select("key", "root", "bands").mapInArrow(_bands, "band tinyint, bucket long, next long, key long, root long")
 
 
-def links(docs: DataFrame, prints: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(src, dst): keys of prints(key, first, bands) that are paired by their buckets and whose shingles have a Jaccard similarity of least or more; first is a doc_id of docs(doc_id, text) with the key."""
-    rows = _in_bands(prints.withColumn("root", F.col("key")))
-    dealt = rows.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "next").select("band", "bucket", "key")
-    pairs = materialise(dealt.mapInArrow(_pairs, "src long, dst long").distinct(), "pairs")
+def _near(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs(src, dst) of keys of prints(key, first) whose shingles have a Jaccard similarity of least or more; first is a doc_id of docs(doc_id, text) with the key."""
+    pairs = materialise(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct()
     return _compared(pairs, _sets_of(docs, prints, wanted, words), least)
 
 
+def by_fingerprints(prints: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
+    """(src, dst): pairs of keys of prints(key, fp) that connect all keys whose fingerprints are connected by differences of radius bits or fewer."""
+    of = materialise(prints.groupBy("fp").agg(F.min("key").alias("least")), "by_fp")
+    side = lambda c: of.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_key"))
+    linked = simhash.links(of.select("fp"), radius, parts).join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_key").alias("a"), F.col("dst_key").alias("b"))
+    same = prints.join(of, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return linked.unionByName(same).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
+def by_buckets(prints: DataFrame) -> DataFrame:
+    """(src, dst): keys of prints(key, bands) that are paired by their buckets."""
+    rows = _in_bands(prints.withColumn("root", F.col("key")))
+    dealt = rows.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "next").select("band", "bucket", "key")
+    return dealt.mapInArrow(_pairs, "src long, dst long")
+
+
 def _undecided(prints: DataFrame) -> DataFrame:
     """(key, root): the members of buckets of over 32 texts in which prints(key, root, bands) have several roots."""
     rows = _in_bands(prints)
@@ -233,9 +263,9 @@ def _joined(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
 
 
 def _groups(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
-    """(key, first, root): prints(key, first, bands), with the smallest key that each is connected with."""
+    """(key, first, root): prints(key, first, fp, bands), with the smallest key that each is connected with."""
     rooted = lambda comp: prints.join(comp, F.col("key") == F.col("node"), "left").select("key", "first", "bands", F.coalesce("root", "key").alias("root"))
-    found = materialise(links(docs, prints, words, least), "links")
+    found = materialise(_near(docs, prints, by_fingerprints(prints).unionByName(by_buckets(prints)), words, least), "links")
     groups = materialise(rooted(components(found)), "groups")
     open_ = materialise(_undecided(groups), "open")
     if open_.isEmpty():
@@ -248,8 +278,8 @@ def _groups(docs: DataFrame, prints: DataFrame, words: int, least: float) -> Dat
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text) with a doc_id: the smallest doc_id among the near copies that it is connected with."""
     docs = bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    every = materialise(docs.mapInArrow(_prints(words), "doc_id long, key long, bands binary"), "prints")
-    prints = materialise(every.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "distinct")
+    every = materialise(docs.mapInArrow(_prints(words), "doc_id long, key long, fp long, bands binary"), "prints")
+    prints = materialise(every.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     rooted = _groups(docs, prints, words, least)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     by_key = rooted.join(ids, F.col("root") == F.col("r")).select(F.col("key").alias("k"), "component_id")

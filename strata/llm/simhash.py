@@ -28,6 +28,19 @@ _BLANKS = bytes(range(9, 14)) + b" "
 _SOME = 1 << 15
 
 
+def ones_of(h: np.ndarray) -> np.ndarray:
+    """For each bit, in how many of the hashes it is set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), _SOME):
+        ones += np.unpackbits(h[i : i + _SOME].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The word of the bits that are set in over half of n hashes."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """Unsigned 64-bit fingerprint of a text."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and split know ASCII only
@@ -42,8 +55,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
     for i in range(0, n, _SOME):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : i + _SOME], stops[i : i + _SOME])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += ones_of(h)
+    return majority(ones, n)
 
 
 def _fingerprints(words: int):

@@ -649,3 +649,44 @@ def test_without_ids(spark, slots):
     ids = spark.createDataFrame([(i,) for i in range(0, 700, 7)], "_id long")
     got = without_ids(spark.createDataFrame(rows, "doc_id long, text string"), ids, "doc_id", slots).collect()
     assert sorted(r["text"] for r in got) == sorted(t for i, t in rows if i is None or i % 7)
+
+
+def test_pipeline_groups_by_fingerprints(spark, monkeypatch):
+    """The pipeline's near-dedup gets groups from op6's ball hashing, verified on the shingles; MinHash adds what these leave."""
+    import corpus_pipeline
+    from strata.llm import minhash
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        w = ["w%d" % rng.randrange(3000) for _ in range(rng.choice((30, 200, 400)))]
+        for k in range(3):
+            v = list(w)
+            for _ in range(k):
+                v[rng.randrange(len(v))] = "changed%d" % rng.randrange(5000)
+            texts.append(" ".join(v))
+    texts += ["", " ", "one", "ONE", "one two one two one two one", "one two one two one two one two one"]  # the last two: the same distinct shingles
+    sets = [minhash.shingles(t) for t in texts]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    close = lambda a, b: (lambda n: n >= 0.8 * (len(sets[a]) + len(sets[b]) - n))(len(np.intersect1d(sets[a], sets[b])))
+    near, every = Sets(), Sets()
+    for a in range(len(texts)):
+        near.find(a), every.find(a)
+        for b in range(a):
+            if close(a, b):
+                every.join(a, b)
+                if (prints[a] ^ prints[b]).bit_count() <= 4 or list(sets[a]) == list(sets[b]):
+                    near.join(a, b)
+    roots = lambda s: [s.find(i) for i in range(len(texts))]
+    assert len(set(roots(every))) < len(set(roots(near))) < len(texts) - 10  # either step has its links
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda: {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()}
+    assert kept() == set(roots(every))
+    none = spark.createDataFrame([], "src long, dst long")
+    with monkeypatch.context() as m:
+        m.setattr(minhash, "by_buckets", lambda prints: none)
+        m.setattr(minhash, "_undecided", lambda prints: none)
+        assert kept() == set(roots(near))
+    with monkeypatch.context() as m:
+        m.setattr(minhash.simhash, "links", lambda *a: none)
+        assert kept() == set(roots(every))
