@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, released
 
 _CHUNK = 100_000
 
@@ -82,7 +82,7 @@ def _mark(e: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of edges(src, dst) the smallest node that it is connected with. Self-links and repeated edges are allowed; nodes without links have no row."""
     e = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst")
-    e = materialise(e.mapInArrow(_forest, "src long, dst long").distinct(), "edges")
+    e = materialise(e.mapInArrow(released(_forest), "src long, dst long").distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
         e = materialise(_small_star(_large_star(e, _hubs(e, mark[0]))), "edges")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, in_ids, materialise
+from .common import bound_batches, in_ids, materialise, released
 
 # Units that become a placeholder.
 UNITS = frozenset(
@@ -149,7 +149,7 @@ def _item_rows(size: int):
 
 def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    return materialise(items.mapInArrow(_item_rows(size), _WINDOWS), "windows")
+    return materialise(items.mapInArrow(released(_item_rows(size)), _WINDOWS), "windows")
 
 
 def gate_of(of_items: DataFrame) -> np.ndarray:
@@ -285,10 +285,10 @@ def _judged(size: int, share: float):
 def items_in(texts: DataFrame, of_items: DataFrame, size: int = 5, share: float = 0.8) -> DataFrame:
     """(key, item_ids, reparameterised, coverage, copies) of the texts(key, text) that hold items."""
     sent = texts.sparkSession.sparkContext.broadcast(gate_of(of_items))
-    hits = texts.mapInArrow(_hits(sent, size), "key binary, h long, reading tinyint, at int, said array<string>")
+    hits = texts.mapInArrow(released(_hits(sent, size)), "key binary, h long, reading tinyint, at int, said array<string>")
     once = hits.groupBy("key", "h", "reading", "at").agg(F.first("said").alias("said"), F.count("*").alias("copies"))
     joined = once.join(of_items, ["h", "reading"]).select("key", "item", "reading", "item_id", "at", "place", "said", "slots", "total", "length", "copies")
-    found = joined.repartition("key", "item").sortWithinPartitions("key", "item", "reading").mapInArrow(_judged(size, share), "key binary, item_id long, cover double, differs boolean, copies long")
+    found = joined.repartition("key", "item").sortWithinPartitions("key", "item", "reading").mapInArrow(released(_judged(size, share)), "key binary, item_id long, cover double, differs boolean, copies long")
     return found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.collect_set(F.when(F.col("differs"), F.col("item_id")))).alias("reparameterised"), F.max("cover").alias("coverage"), F.max("copies").alias("copies"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_spread
-from .common import bound_batches, materialise, with_fields
+from .common import bound_batches, materialise, released, with_fields
 
 _BATCH = 20_000
 
@@ -52,7 +52,7 @@ def _emit(min_chars: int):
 
 def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(key, docs, keeper): the keys that lose lines. Each document counts once for a key, and each map task adds up its own documents before the shuffle, so a line in a third of all documents is one row a task."""
-    pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_emit(min_chars), "doc_id long, key binary")
+    pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(_emit(min_chars)), "doc_id long, key binary")
     return pairs.groupBy("key", "doc_id").agg(F.count("*").alias("_")).groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
 
 
@@ -87,9 +87,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     docs = bound_batches(docs).drop("_kept_text", "n_lines", "n_dropped", "kept_sha256", "_of", "_gone")
     gone = materialise(shared_lines(docs, min_chars, min_docs), "lines")
-    pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_emit(min_chars), "doc_id long, key binary")
+    pairs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(_emit(min_chars)), "doc_id long, key binary")
     per_doc = join_spread(pairs, gone.withColumnRenamed("key", "_line"), ["key"], ["_line"], "docs", ["doc_id"]).where(F.col("doc_id") != F.col("keeper")).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias("_gone"))
     joined = docs.join(per_doc, F.col("doc_id") == F.col("_of"), "left").drop("_of")
     schema = with_fields(docs.drop("text"), "_kept_text string, n_lines long, n_dropped long, kept_sha256 string")
     at = joined.columns
-    return joined.mapInArrow(_apply(min_chars, at.index("text"), at.index("_gone"), to_arrow_schema(schema)), schema)
+    return joined.mapInArrow(released(_apply(min_chars, at.index("text"), at.index("_gone"), to_arrow_schema(schema))), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bound_batches, materialise
+from .common import bound_batches, materialise, released
 from .components import components
 
 _BANDS, _ROWS = 16, 4
@@ -194,18 +194,18 @@ def _sets_of(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words: int)
     """(key, shingles) of the keys of wanted(key)."""
     first = prints.join(wanted, "key", "left_semi").select("first").distinct()
     texts = docs.join(first, F.col("doc_id") == F.col("first"), "left_semi").select("text")
-    return materialise(texts.mapInArrow(_sets(words), "key long, shingles binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("shingles").alias("shingles")), "sets")
+    return materialise(texts.mapInArrow(released(_sets(words)), "key long, shingles binary").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("shingles").alias("shingles")), "sets")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs(src, dst) whose sets(key, shingles) have a Jaccard similarity of least or more."""
     side = lambda c, s: sets.select(F.col("key").alias(c), F.col("shingles").alias(s))
-    return pairs.join(side("src", "s"), "src").join(side("dst", "t"), "dst").select("src", "dst", "s", "t").mapInArrow(_verified(least), "src long, dst long")
+    return pairs.join(side("src", "s"), "src").join(side("dst", "t"), "dst").select("src", "dst", "s", "t").mapInArrow(released(_verified(least)), "src long, dst long")
 
 
 def _in_bands(prints: DataFrame) -> DataFrame:
     """(band, bucket, next, key, root): a row for each band of prints(key, root, bands)."""
-    return prints.where("bands is not null").select("key", "root", "bands").mapInArrow(_bands, "band tinyint, bucket long, next long, key long, root long")
+    return prints.where("bands is not null").select("key", "root", "bands").mapInArrow(released(_bands), "band tinyint, bucket long, next long, key long, root long")
 
 
 def _near(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -228,7 +228,7 @@ def by_buckets(prints: DataFrame) -> DataFrame:
     """(src, dst): keys of prints(key, bands) that are paired by their buckets."""
     rows = _in_bands(prints.withColumn("root", F.col("key")))
     dealt = rows.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "next").select("band", "bucket", "key")
-    return dealt.mapInArrow(_pairs, "src long, dst long")
+    return dealt.mapInArrow(released(_pairs), "src long, dst long")
 
 
 def _undecided(prints: DataFrame) -> DataFrame:
@@ -246,12 +246,12 @@ def _joined(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     each has as many shingles as the two have to share. The order puts rare ones first, by counts of 2^20 slots, whatever the number of shingles.
     Of the texts that share a shingle those of its most frequent root meet the others alone, not one another.
     """
-    slots = sets.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slots = sets.select("shingles").mapInArrow(released(_slot_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(_SLOTS, np.int64)
     counts[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     each = sets.join(roots, "key").select("key", "root", "shingles")
-    early = materialise(each.mapInArrow(_early(sent, least), "shingle long, key long, root long, n long, at long"), "early")
+    early = materialise(each.mapInArrow(released(_early(sent, least)), "shingle long, key long, root long, n long, at long"), "early")
     most = early.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
     several = materialise(most.where("roots > 1").select("shingle", F.col("m.root").alias("_most")), "several")
     early = early.join(several, "shingle")
@@ -278,7 +278,7 @@ def _groups(docs: DataFrame, prints: DataFrame, words: int, least: float) -> Dat
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text) with a doc_id: the smallest doc_id among the near copies that it is connected with."""
     docs = bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    every = materialise(docs.mapInArrow(_prints(words), "doc_id long, key long, fp long, bands binary"), "prints")
+    every = materialise(docs.mapInArrow(released(_prints(words)), "doc_id long, key long, fp long, bands binary"), "prints")
     prints = materialise(every.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     rooted = _groups(docs, prints, words, least)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, with_fields
+from .common import bound_batches, released, with_fields
 from .split import held_out
 
 _CLASSES = [b"!", b"|", b"*#%&$@~^+=_<>/\\{}[]", b"0123456789", b".", b",", b"?;:", b"\"'`()", b"\n", bytes(range(65, 91)), bytes(range(128, 256)), bytes(range(0, 9)) + bytes(range(14, 32))]
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     y = y.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     y = y.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # bounded, so it can be broadcast
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
-    rows = d.mapInArrow(_features, "doc_id long, x array<double>, y int").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("m")).select("m.x", "m.y", "doc_id").orderBy("doc_id").toArrow()
+    rows = d.mapInArrow(released(_features), "doc_id long, x array<double>, y int").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("m")).select("m.x", "m.y", "doc_id").orderBy("doc_id").toArrow()
     if not rows.num_rows:
         return None
     return learn(np.array(rows["x"].to_pylist()), rows["y"].to_numpy())
@@ -128,4 +128,4 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts:
     model = train(docs, labels, label, parts, part, max_labelled)
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), parts, part))
     schema = with_fields(docs, "score double, predicted int")
-    return docs.mapInArrow(_score(model, docs.columns.index("text"), to_arrow_schema(schema)), schema)
+    return docs.mapInArrow(released(_score(model, docs.columns.index("text"), to_arrow_schema(schema))), schema)

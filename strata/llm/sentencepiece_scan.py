@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, with_fields
+from .common import bound_batches, materialise, released, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -332,10 +332,10 @@ def _checked(proto: bytes, key_at: int, ids_at: int, schema: pa.Schema):
 def encode_giants(giants: DataFrame, proto: bytes, size: int) -> DataFrame:
     """(text_key, ids) of the distinct texts of giants(text_key, text), by the scan over chunks of size characters."""
     n = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = materialise(giants.dropDuplicates(["text_key"]).select("text_key", "text").mapInArrow(_chunks(proto, size), "text_key string, no int, slice string, lo int, hi int").repartition(n, "text_key", "no"), "chunks")
-    matrices = chunks.mapInArrow(_transfers(proto), f"text_key string, no int, matrix {_MATRIX}")
-    cuts = matrices.groupBy("text_key").agg(F.collect_list(F.struct("no", "matrix")).alias("rows")).mapInArrow(_settled, "k string, n int, enter int, leave int")
-    traced = chunks.join(cuts, (F.col("text_key") == F.col("k")) & (F.col("no") == F.col("n"))).drop("k", "n").mapInArrow(_traced(proto), "text_key string, no int, ids array<int>")
+    chunks = materialise(giants.dropDuplicates(["text_key"]).select("text_key", "text").mapInArrow(released(_chunks(proto, size)), "text_key string, no int, slice string, lo int, hi int").repartition(n, "text_key", "no"), "chunks")
+    matrices = chunks.mapInArrow(released(_transfers(proto)), f"text_key string, no int, matrix {_MATRIX}")
+    cuts = matrices.groupBy("text_key").agg(F.collect_list(F.struct("no", "matrix")).alias("rows")).mapInArrow(released(_settled), "k string, n int, enter int, leave int")
+    traced = chunks.join(cuts, (F.col("text_key") == F.col("k")) & (F.col("no") == F.col("n"))).drop("k", "n").mapInArrow(released(_traced(proto)), "text_key string, no int, ids array<int>")
     return traced.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("c")).select("text_key", F.flatten(F.transform("c", lambda x: x["ids"])).alias("ids"))
 
 
@@ -348,11 +348,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, giant: int = 32_768, size:
     schema = with_fields(docs.drop("text"), _RESULTS)
     arrow = to_arrow_schema(schema)
     long = F.coalesce(F.char_length("text") > giant, F.lit(False))
-    small = docs.where(~long).mapInArrow(_whole(proto, docs.columns.index("text"), arrow), schema)
+    small = docs.where(~long).mapInArrow(released(_whole(proto, docs.columns.index("text"), arrow)), schema)
     giants = docs.where(long).withColumn("text_key", F.sha2("text", 256))
     ids = encode_giants(giants, proto, size).select(F.col("text_key").alias("_k"), F.col("ids").alias("_ids"))
     joined = giants.drop("text").join(ids, F.col("text_key") == F.col("_k")).drop("_k")
-    return small.unionByName(joined.mapInArrow(_checked(proto, joined.columns.index("text_key"), joined.columns.index("_ids"), arrow), schema))
+    return small.unionByName(joined.mapInArrow(released(_checked(proto, joined.columns.index("text_key"), joined.columns.index("_ids"), arrow)), schema))
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -370,4 +370,4 @@ def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
             text = [None if not t.is_valid else m.decode(t.values.to_pylist()) for t in b.column(at)]
             yield pa.record_batch([*[c for i, c in enumerate(b.columns) if i != at], pa.array(text, pa.string())], schema=arrow)
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(released(run), schema)

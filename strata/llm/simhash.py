@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise
+from .common import bound_batches, materialise, released
 from .components import components
 
 _BLANKS = bytes(range(9, 14)) + b" "
@@ -69,7 +69,7 @@ def _fingerprints(words: int):
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return bound_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(_fingerprints(words)), "doc_id long, fp long")
 
 
 def cuts(parts: int) -> list[np.uint64]:
@@ -193,8 +193,8 @@ def links(prints: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     """(src, dst): links that connect whatever fingerprints of prints(fp), which must be distinct, are connected by differences of radius bits or fewer."""
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a fingerprint makes over a hundred rows: its few bytes say nothing of the work, so tasks aren't left to be sized by them
-    v = prints.select("fp").repartition(n, "fp").mapInArrow(_variants(radius, parts), "cut tinyint, variant long, fp long")
-    return v.repartition("cut", "variant").sortWithinPartitions("cut", "variant", "fp").mapInArrow(_links(radius), "src long, dst long")
+    v = prints.select("fp").repartition(n, "fp").mapInArrow(released(_variants(radius, parts)), "cut tinyint, variant long, fp long")
+    return v.repartition("cut", "variant").sortWithinPartitions("cut", "variant", "fp").mapInArrow(released(_links(radius)), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, parts: int = 3) -> DataFrame:
