@@ -44,7 +44,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), unnamed=True)
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,33 @@ def test_topk_of_large_components_and_repeated_ids(spark, block, bins):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("scale,giant,bins", [(0.01, 1, 256), (1.0, 1, 7), (0.01, 1e18, 256)])
+def test_topk_of_close_scores(spark, scale, giant, bins):
+    """Scores just above the kth value's bin, which a pass must not count again. With a giant vector limits are beyond 64 bits."""
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(400, 16)) * scale).tolist()
+    v[7] = [x * giant for x in v[7]]
+    q = [[int(x) * 1024 if abs(x) >= 2**53 else math.floor(x * 1024) for x in y] for y in v]
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for i in range(0, 400, 5):
+        best = sorted((-sum(a * b for a, b in zip(q[i], x)), j * 20) for j, x in enumerate(q) if j != i)[:10]
+        want += [(i * 20, r + 1, j, clip(-s)) for r, (s, j) in enumerate(best)]
+    df = spark.createDataFrame([(i * 20, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, bins=bins).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("bins", [2, 7, 256])
+def test_topk_bins_fill_one_bin(bins):
+    for kind, bounds in ((np.int64, [1, 127, 128, 129, 10**6, 2**62 - 1]), (object, [1, 2**62, 2**63, 10**40])):
+        for b, w in zip(bounds, topk._widths(np.array(bounds, kind), bins).tolist()):
+            assert bins * w > 2 * b and (w == 1 or w <= 2 * b)
+            while w > 1:
+                assert w % bins == 0
+                w //= bins
+
+
 # ---- tokens ----------------------------------------------------------------------------------------------------
 
 
